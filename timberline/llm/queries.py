@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import simhash
+from timberline.llm import mixing, packing, simhash, toxicity
 from timberline.llm.storage import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted) for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, weights=(1, 2, 3), share=1.0, limit=3.0)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = toxicity.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document."""
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
@@ -18,8 +43,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op6_packing": op6_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS z, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3.0::DOUBLE * z AS cap, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+l AS (SELECT *, (sum(z) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight DESC, source DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS level FROM w),
+t AS (SELECT source, source_size, CASE WHEN cap / weight <= g THEN cap ELSE g * weight END AS target
+    FROM (SELECT *, (SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight >= level) AS g FROM l)),
+k AS (SELECT doc_id, size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS times,
+    sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat(coalesce(doc_id::VARCHAR, ''), '|', size::VARCHAR)) ROWS UNBOUNDED PRECEDING) - size AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    CAST(size * (times + CASE WHEN size > 0 AND target > times * source_size AND (target - times * source_size - before) * 2 >= size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM k
+"""
+
 #: Queries that SQL can express over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
