@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm import mixing, packing, simhash, toxicity
+from timberline.llm import chat, html_text, mixing, nearest, packing, simhash, token_counts, top_k, toxicity, url_filter
 from timberline.llm.storage import table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each encoded length of documents: counts, suffix sums, truncated totals and quantile."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -24,6 +29,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score (cosine) of the 5 nearest found for each vec_id divisible by 50."""
+    return nearest.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,11 +41,32 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").cast("int").alias("predicted"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of conversations as canonical JSON, with its order and errors."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document."""
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict (and template, purity) for every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the 20 highest integer inner products for each vec_id divisible by 20."""
+    return top_k.search(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
@@ -43,9 +74,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_url_filters": op8_url_filters,
+    "op9_top_k": op9_top_k,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -65,5 +102,14 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 #: Queries that SQL can express over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op8_url_filters": url_filter.oracle(), "op9_top_k": OP9_SQL}
