@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timberline.llm.storage import materialise
 
@@ -267,6 +268,16 @@ def stars(edges: DataFrame) -> DataFrame:
 # ---- the operator
 
 
+def _found(docs: DataFrame, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all rows, and (fp, root, component_id) of all fingerprints; both written."""
+    fps = materialise(fingerprints(docs, width), "fingerprints")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "distinct_fingerprints")
+    star = stars(links(distinct, distance)).select(F.col("a").alias("root"), F.col("b").alias("fp"))
+    member = distinct.join(star, "fp", "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
+    whole = member.groupBy("root").agg(F.min("least_doc").alias("component_id"))
+    return fps, materialise(member.join(whole, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, root and component_id for each row of docs (columns doc_id, text; others are ignored).
 
@@ -277,21 +288,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     stay and get the same component. A null doc_id is kept; a component of null ids only has a null component_id.
     An empty table gives no rows. Texts are read whole.
     """
-    fps = materialise(fingerprints(docs, width), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "distinct_fingerprints")
-    star = stars(links(distinct, distance)).select(F.col("a").alias("root"), F.col("b").alias("fp"))
-    member = distinct.join(star, "fp", "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
-    whole = member.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    label = materialise(member.join(whole, "root").select("fp", "root", "component_id"), "components")
+    fps, label = _found(docs, width, distance)
     return fps.join(label, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component the row with the least doc_id (nulls last); of several such rows
     the least one over all columns. All columns are kept."""
-    found = near_duplicates(docs, width, distance)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("root").alias("_root")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    # a doc_id may stand for several components only if rows repeat it with other texts
-    return kept.groupBy("_id", "_root").agg(F.min(row).alias("_row")).select("_row.*")
+    fps, label = _found(docs, width, distance)
+    ids = fps.join(label, "fp").groupBy("doc_id").agg(F.min("root").alias("_root"), F.max("root").alias("_last"), F.min("component_id").alias("_component"))
+    # an id of rows with several texts, and the null id, don't tell a row's component: those rows' texts are read again
+    plain = F.col("doc_id").isNotNull() & (F.col("_root") == F.col("_last"))
+    ids = materialise(ids.select(F.col("doc_id").alias("_id"), "_component", plain.alias("_plain")).where(~plain | (F.col("doc_id") == F.col("_component"))), "stay")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"))
+    same = F.col("_doc").eqNullSafe(F.col("_id"))
+    kept = rows.join(ids.where("_plain"), same).groupBy("_id").agg(F.min("_row").alias("_row")).select("_row")
+    again = rows.join(ids.where("NOT _plain"), same, "left_semi")
+    schema = T.StructType([again.schema["_row"], T.StructField("_doc", T.LongType()), T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "_doc", "fp"])
+
+    told = again.mapInArrow(run, schema).join(label, "fp").where(F.col("_doc").eqNullSafe(F.col("component_id")))
+    return kept.unionByName(told.groupBy("root").agg(F.min("_row").alias("_row")).select("_row")).select("_row.*")

@@ -1,31 +1,8 @@
-"""Tables that cut lineage, written where every executor can read them."""
+"""Tables of the data folders, and tables that cut lineage."""
 
 from __future__ import annotations
 
-import uuid
+from timberline.sources.shared import materialise, shared_dir
+from timberline.sources.tables import table
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/timberline"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    What reads the result again after an executor is lost reads files, not a recomputed plan,
-    and the optimiser sees the true size of the table when it picks a join.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timberline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["materialise", "shared_dir", "table"]
