@@ -82,12 +82,12 @@ def expand_cell(atoms: DataFrame, lattice: DataFrame, n1: int, n2: int, n3: int)
     join. The new ord runs over x, y, z and then the atoms, as nested loops would."""
     if min(n1, n2, n3) < 1:
         raise ValueError("a cell is expanded by whole numbers from 1")
+    atoms = atoms.withColumn("per_doc", F.count("*").over(W.partitionBy("doc_id")))  # counted before the rows multiply
     for name, n in zip(("i", "j", "k"), (n1, n2, n3), strict=True):
         atoms = atoms.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    per_doc = F.count("*").over(W.partitionBy("doc_id")) / (n1 * n2 * n3)
     grown = lattice.select("doc_id", *[V.scale(F.col(a), float(n)).alias(a) for a, n in zip(AXES, (n1, n2, n3), strict=True)])
     copy = (F.col("i") * n2 + F.col("j")) * n3 + F.col("k")
-    new = atoms.select("doc_id", (copy * per_doc.cast("int") + F.col("ord")).cast("int").alias("ord"), "atom_type", *[((F.col(c) + F.col(s)) / float(n)).alias(c) for c, s, n in zip(XYZ, ("i", "j", "k"), (n1, n2, n3), strict=True)])
+    new = atoms.select("doc_id", (copy * F.col("per_doc") + F.col("ord")).cast("int").alias("ord"), "atom_type", *[((F.col(c) + F.col(s)) / float(n)).alias(c) for c, s, n in zip(XYZ, ("i", "j", "k"), (n1, n2, n3), strict=True)])
     return new, grown
 
 
