@@ -45,6 +45,15 @@ def test_write_then_shred_is_the_same_tree(spark):
     assert sorted(map(str, n.select(cols).collect())) == sorted(map(str, again.select(cols).collect()))
 
 
+def test_namespaced_attributes_are_written_as_xml(spark):
+    at = "{http://www.w3.org/2001/XMLSchema-instance}schemaLocation"
+    text = '<r xmlns="urn:a" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:p="urn:p" xsi:schemaLocation="urn:a a.xsd" xml:lang="en" p:q="1" q="2"><k p:z="3"/></r>'
+    n = nodes_of(spark, text)
+    again = shred(writer.write_tree(n).withColumnRenamed("xml", "text")).orderBy("node_id").collect()
+    assert again[0].attribs == {at: "urn:a a.xsd", "{http://www.w3.org/XML/1998/namespace}lang": "en", "q": "2"} and again[1].attribs == {"z": "3"}
+    assert pipeline.Engine(spark, None).locations(n).first()[1:] == ("schemaLocation", "urn:a", "a.xsd", None)
+
+
 def test_layout(spark):
     n = nodes_of(spark, '<r><k long="1" b="2">v</k><e/></r>')
     assert writer.write_tree(n, writer.header()).first().xml == (

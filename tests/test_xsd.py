@@ -63,3 +63,11 @@ def test_catalogs_are_apart_and_overlays_take_precedence(spark):
 def test_a_type_inside_itself_ends():
     c = compile_xsd(HEAD + '<xs:complexType name="T"><xs:sequence><xs:element name="t" type="T"/></xs:sequence></xs:complexType></xs:schema>')
     assert c.struct("T")["t"].dataType == T.StringType()
+
+
+def test_a_schema_that_cannot_be_fetched_is_an_error(spark, tmp_path):
+    from timberline.sources.xsd import read_xsd
+
+    assert read_xsd(spark, "http://localhost:9/x.xsd").errors[0][0] == "schema_unreachable"
+    (tmp_path / "s.xsd").write_text(fixtures.GEO)
+    assert "Region" in read_xsd(spark, f"{tmp_path}/s.xsd").types

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.functions import text as X
 from timberline.sources.xml import COMMENT
 
+#: Fixed value: the namespace of the prefix xml.
+XML = "http://www.w3.org/XML/1998/namespace"
 #: Blanks before a line: INDENT for each level, ATTRIBUTE more before an attribute, VALUE more before a value line.
 INDENT, ATTRIBUTE, VALUE = 4, 7, 3
 
@@ -33,6 +36,16 @@ def attributes(attribs: Column, depth: Column) -> Column:
     return F.array_join(F.transform(names, line), "")
 
 
+def writable(attribs: Column, depth: Column) -> Column:
+    """Attributes under names that XML allows: a root's schema location under its xsi: name with the declarations it
+    needs, xml: names with their prefix, others without their namespace; what still is no name is left out."""
+    located = (depth == 0) & F.exists(F.map_keys(attribs), lambda k: k.startswith(f"{{{X.XSI}}}"))
+    all_ = F.when(located, X.root_attributes(attribs)).otherwise(attribs)
+    name = lambda k: F.when(k.startswith(f"{{{XML}}}"), F.concat(F.lit("xml:"), X.local_name(k))).otherwise(X.local_name(k))
+    good = lambda k: name(k).rlike(r"^[\p{L}_][\p{L}\p{N}_.-]*(:[\p{L}_][\p{L}\p{N}_.-]*)?$") & ((name(k) == k) | ~F.array_contains(F.map_keys(all_), name(k)))
+    return F.transform_keys(F.map_filter(all_, lambda k, v: good(k)), lambda k, v: name(k))
+
+
 def comment(text: Column) -> Column:
     return F.concat(F.lit("<!--"), text, F.lit("-->"))
 
@@ -60,7 +73,7 @@ def events(nodes: DataFrame) -> DataFrame:
     (an end sorts after everything below its node)."""
     parents = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("has_children", F.lit(True))
     rows = nodes.join(parents, ["doc_id", "node_id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
-    start = F.struct(F.col("path").alias("key"), open_tag(F.col("name"), F.col("attribs"), F.col("value"), F.col("has_children"), F.col("depth")).alias("text"))
+    start = F.struct(F.col("path").alias("key"), open_tag(F.col("name"), writable(F.col("attribs"), F.col("depth")), F.col("value"), F.col("has_children"), F.col("depth")).alias("text"))
     end = F.struct(F.concat("path", F.lit("/~")).alias("key"), close_tag(F.col("name"), F.col("depth")).alias("text"))
     both = F.when(F.col("has_children"), F.array(start, end)).otherwise(F.array(start))
     return rows.where("node_id IS NOT NULL").select("doc_id", F.explode(both).alias("e")).select("doc_id", "e.key", "e.text")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from timberline.functions.text import schema_location
 from timberline.operators import lattice, writer
 from timberline.operators.validate import validate
 from timberline.sources.shared import materialise
@@ -144,6 +146,11 @@ class Engine:
         """The node table of XML files at a path, or of a DataFrame with doc_id and text."""
         return shred(documents(self.spark, source) if isinstance(source, str) else source)
 
+    def locations(self, nodes: DataFrame) -> DataFrame:
+        """doc_id, attribute, namespace, location and code: where each document says its schema is."""
+        roots = nodes.where("depth = 0").select("doc_id", schema_location(F.col("attribs")).alias("at"))
+        return roots.select("doc_id", "at.*")
+
     def errors(self, nodes: DataFrame) -> DataFrame:
         return validate(nodes, self.catalog)
 

@@ -6,6 +6,8 @@ literals in column expressions.
 
 from __future__ import annotations
 
+import urllib.error
+import urllib.request
 import xml.etree.ElementTree as ET
 from collections import Counter
 from dataclasses import dataclass, field, replace
@@ -347,5 +349,14 @@ def compile_xsd(text: str) -> Catalog:
 
 
 def read_xsd(spark: SparkSession, path: str) -> Catalog:
-    """The catalog of the schema at a path or URL that Spark can read."""
-    return compile_xsd(spark.read.text(path, wholetext=True).first()[0])
+    """The catalog of the schema at a path that Spark can read, or at a http(s) or ftp URL, which the driver fetches. A
+    URL that can't be fetched gives an empty catalog with the error schema_unreachable."""
+    if not path.startswith(("http://", "https://", "ftp://")):
+        return compile_xsd(spark.read.text(path, wholetext=True).first()[0])
+    try:
+        with urllib.request.urlopen(path, timeout=60) as f:
+            return compile_xsd(f.read().decode())
+    except (urllib.error.URLError, OSError) as e:
+        out = Catalog()
+        out.errors.append(("schema_unreachable", path, str(e)))
+        return out
