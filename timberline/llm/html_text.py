@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Fixed values of HTML: elements without content, with raw text, and those that break a line of text.
@@ -47,7 +48,7 @@ WORDS |= {
 HIDDEN = -20.0
 LINK, LONG, HEADING, SENTENCE, BIAS = -4.0, 1.5, 1.0, 0.5, 0.2
 #: Capacity between neighbours at DOM distance 1, and its share left where their ancestors' weights differ.
-SMOOTH, ACROSS = 2.0, 0.2
+SMOOTH, ACROSS = 2.0, 0.05
 
 
 @dataclass
@@ -63,10 +64,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
     """Text blocks in page order, and the elements as (parent, tag, sum of the weights on the way from the root)."""
     nodes: list[tuple[int, str, float]] = [(-1, "", 0.0)]
     stack = [0]
+    opened: dict[str, int] = {}  # open elements by tag: what isn't open needn't be looked for
     blocks: list[Block] = []
     text: list[str] = []
     links = in_link = at = 0
-    lower = None
+    lower = ""
+
+    def pop_to(k: int) -> None:
+        for i in stack[k:]:
+            opened[nodes[i][1]] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal links
@@ -93,9 +100,9 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
                 flush()
             if tag == "a":
                 in_link = 0
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if nodes[stack[k]][1] == tag:
-                    del stack[k:]
+                    pop_to(k)
                     break
                 if nodes[stack[k]][1] in SCOPE and tag not in BLOCKS:
                     break
@@ -105,7 +112,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
                 flush()
             if m[3].endswith("/") and tag in ("svg", "math"):
                 continue
-            lower = lower or page.lower() if len(page.lower()) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)
+            lower = lower or page.translate(ASCII_LOWER)
             end = lower.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(page)
@@ -117,10 +124,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
         if tag in VOID:
             continue
         closes = CLOSES.get(tag)
-        if closes:
+        if closes and any(opened.get(c) for c in closes):
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]][1] in closes:
-                    del stack[k:]
+                    pop_to(k)
                     break
                 if nodes[stack[k]][1] in SCOPE:
                     break
@@ -129,6 +136,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
         weight = nodes[stack[-1]][2] + element_weight(tag, m[3], nodes[stack[-1]][2])
         nodes.append((stack[-1], tag, weight))
         stack.append(len(nodes) - 1)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return blocks, nodes
 
