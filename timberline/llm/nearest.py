@@ -121,7 +121,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7,
     n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    # a hash threshold leaves about twice the sample, so that partitions don't each send one to the driver
+    share = min(1 << 20, -(-2 * SAMPLE * (1 << 20) // n))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     index = fit(unit(matrix(sample.column("v").combine_chunks(), dims)), min(CENTROIDS, max(1, n // LIST)))
     shared = spark.sparkContext.broadcast(index)  # CENTROIDS vectors at most
     beam = max(8, math.ceil(probes * len(index.centroids)))
