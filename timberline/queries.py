@@ -161,7 +161,7 @@ def bind_primitive(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), bind.primitive(F.array(bal), none, "double").alias("of_text"), bind.primitive(empty, F.create_map(F.lit("v"), bal), "double").alias("of_attribute"), bind.primitive(empty, none, "boolean").alias("of_nothing"))
 
 
-@query("SELECT * FROM (VALUES ('schema','region','Region','schema',NULL), ('Region','nation','Nation','schema',NULL), ('Nation','customer','Customer','schema',NULL)) t(parent, name, type, resolved, code)")
+@query("SELECT parent, name, type, resolved, CAST(code AS VARCHAR) AS code FROM (VALUES ('schema','region','Region','schema',NULL), ('Region','nation','Nation','schema',NULL), ('Nation','customer','Customer','schema',NULL)) t(parent, name, type, resolved, code)")
 def resolve_types(spark, sf):
     return bind.resolve_types(compile_xsd(fixtures.GEO), spark)
 
