@@ -42,13 +42,21 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     x_sq, q_sq = (x * x).sum(1), (q * q).sum(1)
     to_x = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(x), 0))
     to_q = np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(q), 0))
+    if len(q) and len(x) and q_sq.max() * x_sq.max() < 2.0**46:
+        # no partial sum of a product reaches 2^24, so single precision is exact for these integers
+        x, q, to_x, to_q, x_sq, q_sq = (a.astype(np.float32) for a in (x, q, to_x, to_q, x_sq, q_sq))
+    to_x = np.ascontiguousarray(to_x.T)
     for at in range(0, len(q), 64):  # bounds for 64 queries at once
         part = slice(at, at + 64)
-        low = np.zeros((len(q[part]), len(x)))
-        for p in range(to_x.shape[1]):
-            np.maximum(low, np.abs(to_q[part, p][:, None] - to_x[:, p][None]), out=low)
+        low = np.zeros((len(q[part]), len(x)), dtype=x.dtype)
+        gap = np.empty_like(low)
+        for p in range(len(to_x)):
+            np.subtract(to_q[part, p][:, None], to_x[p][None], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
         # distances are rounded: the bound is widened by more than that can amount to
-        upper = (q_sq[part][:, None] + x_sq[None] - low * low) / 2 + 1 + 1e-9 * (q_sq[part][:, None] + x_sq[None])
+        both = q_sq[part][:, None] + x_sq[None]
+        upper = (both - low * low) / 2 + both * np.asarray(1e-5, dtype=x.dtype) + 1
         upper[q_ids[part][:, None] == ids[None]] = -np.inf  # not the query's own
         for i, bound in enumerate(upper):
             todo = np.flatnonzero(bound > -np.inf)
