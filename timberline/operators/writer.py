@@ -73,7 +73,8 @@ def events(nodes: DataFrame) -> DataFrame:
     (an end sorts after everything below its node)."""
     parents = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("has_children", F.lit(True))
     rows = nodes.join(parents, ["doc_id", "node_id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
-    start = F.struct(F.col("path").alias("key"), open_tag(F.col("name"), writable(F.col("attribs"), F.col("depth")), F.col("value"), F.col("has_children"), F.col("depth")).alias("text"))
+    rows = rows.withColumn("attribs", writable(F.col("attribs"), F.col("depth")))  # a column of its own: the tag reads it several times
+    start = F.struct(F.col("path").alias("key"), open_tag(F.col("name"), F.col("attribs"), F.col("value"), F.col("has_children"), F.col("depth")).alias("text"))
     end = F.struct(F.concat("path", F.lit("/~")).alias("key"), close_tag(F.col("name"), F.col("depth")).alias("text"))
     both = F.when(F.col("has_children"), F.array(start, end)).otherwise(F.array(start))
     return rows.where("node_id IS NOT NULL").select("doc_id", F.explode(both).alias("e")).select("doc_id", "e.key", "e.text")
