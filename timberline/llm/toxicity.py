@@ -89,25 +89,30 @@ class Scorer(dict):
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 24, rate: float = 0.2, seed: int = 7) -> Model:
     """A model from (text, label) rows. Without rows of both classes every score is the share of label 1, or 0."""
-    ids, starts, doc, label = array("i"), [], [], []
-    cache: dict[str, list[int]] = {}
+    ids, starts, doc, label = array("i"), array("q"), array("i"), []
+    cache: dict[str, array] = {}
     total = 0
     for text, y in rows:
         w = words(text)
         if total > TRAIN_GRAMS or not w:
             continue
         for at in range(0, len(w), WINDOW):
-            part = [r for x in w[at : at + WINDOW] for r in (cache.get(x) or cache.setdefault(x, word_rows(x)))]
-            ids.extend(part)
             starts.append(total)
             doc.append(len(label))
-            total += len(part)
+            for x in w[at : at + WINDOW]:
+                rows_of = cache.get(x)
+                if rows_of is None:
+                    rows_of = cache[x] = array("i", word_rows(x))
+                ids.extend(rows_of)
+            total = len(ids)
         label.append(y)
+        if len(cache) > CACHE_WORDS:
+            cache.clear()
     del cache
     share = float(np.mean(label)) if label else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, dtype=np.float32), 60.0 if share else -60.0)
-    ids, starts, doc, label = np.frombuffer(ids, dtype=np.int32), np.array(starts), np.array(doc), np.array(label)
+    ids, starts, doc, label = np.frombuffer(ids, dtype=np.int32), np.frombuffer(starts, dtype=np.int64), np.frombuffer(doc, dtype=np.int32), np.array(label)
     size = np.diff(np.append(starts, total))
     first = np.flatnonzero(np.diff(np.append(-1, doc)))  # each document's first window
     y = label[doc]
@@ -198,5 +203,6 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the model doesn't reject, with the same columns."""
-    scored = score(docs, train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = "_toxicity".ljust(1 + max(map(len, docs.columns)), "_")  # longer than any name of docs
+    scored = score(docs, train(docs, labels), own)
+    return scored.where(F.col(own) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
