@@ -164,6 +164,25 @@ def test_nearest_edges(spark):
     assert [(r.query_id, r.vec_id) for r in alone] == [(0, 1)]
 
 
+def test_isolated_groups_get_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 3)  # many lists: a third of all vectors are centroids at first
+    rng = np.random.default_rng(2)
+    rows = [(i, [*(2 + rng.normal(size=8)).tolist(), *[0.0] * 30]) for i in range(400)]
+    groups = {}
+    for g in range(30):
+        groups[g] = list(range(1000 + 10 * g, 1001 + 10 * g + g % 5))
+        rows += [(i, [0.0] * (8 + g) + [1.0] + [0.0] * (29 - g)) for i in groups[g]]
+    got: dict = {}
+    for r in nearest.search(vectors_of(spark, rows), every=1).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == {i for i, _ in rows}
+    for ids in groups.values():
+        for i in ids:
+            near = sorted(got[i])
+            assert [r for r, _ in near] == [1, 2, 3, 4, 5]
+            assert [v for _, v in near[: len(ids) - 1]] == [v for v in ids if v != i]
+
+
 def test_balanced_lists_and_walk():
     x = nearest.unit(np.random.default_rng(0).normal(size=(3000, 16)))
     ix = nearest.fit(x, 24)

@@ -2,9 +2,10 @@
 
 Centroids are fitted on a bounded sample with a penalty on size, so lists are balanced. Every vector is filed in the
 list of its nearest centroid, and in others whose centroid is hardly farther, so vectors on a boundary are found from
-either side. A query walks an in-memory neighbourhood graph over the centroids to the nearest ones and drops lists
-whose distance exceeds the nearest one's by more than a ratio. Lists that are still large are cut into pieces by a
-hash, and so are the queries that meet in one list; a task holds one piece of each.
+either side. A query walks an in-memory neighbourhood graph over the centroids to the nearest ones, keeps the first
+lists until they hold several times as many rows as are asked for, and drops what is farther than the last of these by
+more than a ratio. Lists that are still large are cut into pieces by a hash, and so are the queries that meet in one
+list; a task holds one piece of each.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SAMPLE, CENTROIDS = 20_000, 2048
 LIST, PIECE, QUERIES = 256, 4096, 2048
 #: A vector is filed in every list, of the nearest COPIES, whose centroid is at most CLOSURE times as far as its nearest.
 CLOSURE, COPIES = 1.02, 3
+#: Rows, for each neighbour asked for, that a query's nearest lists must hold before a list may be dropped.
+ENOUGH = 8
 #: Edges of a centroid in the graph.
 DEGREE = 24
 
@@ -47,10 +50,12 @@ class Index:
         at = np.take_along_axis(at, order, 1)
         return at, np.take_along_axis(d, at, 1)
 
-    def walk(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """As nearest() for one vector, by best-first search of the graph with a beam of n centroids."""
+    def walk(self, x: np.ndarray, n: int, start: np.ndarray = np.zeros(0, dtype=int)) -> tuple[np.ndarray, np.ndarray]:
+        """As nearest() for one vector, by best-first search of the graph with a beam of n centroids, from fixed
+        centroids and those of start."""
         seen = np.zeros(len(self.centroids), dtype=bool)
         entry = np.unique(np.linspace(0, len(self.centroids) - 1, 8).astype(int))
+        entry = np.union1d(entry, start)
         seen[entry] = True
         beam, dist = entry, 2 - 2 * self.centroids[entry] @ x
         done = np.zeros(len(beam), dtype=bool)
@@ -66,6 +71,17 @@ class Index:
             beam, dist, done = beam[order], dist[order], done[order]
         return beam, np.sqrt(np.maximum(0.0, dist))
 
+    def probe(self, x: np.ndarray, n: int, ratio: float, rows: np.ndarray, least: int) -> np.ndarray:
+        """The lists to read for one vector: of the n that a walk finds, those up to ratio times as far as the list
+        with which the nearest ones hold `least` rows. rows: how many vectors are nearest to each centroid, so none is
+        counted twice. Where the walk's lists hold too few, all lists are ranked. The walk starts from the lists that
+        x is filed in, as few edges lead to the centroid of an isolated group."""
+        found, d = self.walk(x, n, self.nearest(x[None], COPIES)[0][0])
+        if rows[found].sum() < least:
+            found, d = (a[0] for a in self.nearest(x[None], len(self.centroids)))
+        base = d[min(int(np.searchsorted(np.cumsum(rows[found]), least)), len(d) - 1)]
+        return found[d <= max(base * ratio, base + 1e-12)]
+
 
 def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> Index:
     """An index of so many centroids from unit vectors x, by k-means on the sphere whose distances grow with a list's
@@ -113,8 +129,8 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7,
     """query_id, rank (from 1), vec_id, score (cosine) for the k nearest found of each query, ties to smaller vec_id.
 
     Queries: rows whose vec_id is divisible by `every`; candidates: every row but the query's own. probes: the share
-    of the centroids that a query's walk keeps at most; ratio: lists farther than that times the nearest are dropped.
-    What takes part: see usable(). An empty table gives no rows. All rows are filed; only the fit uses a sample.
+    of the centroids that a query's walk keeps; ratio: lists farther than that times the nearest are dropped. Neither
+    leaves a query with fewer than k rows where there are more: see Index.probe(). What takes part: see usable(). An empty table gives no rows. All rows are filed; only the fit uses a sample.
     """
     spark = vectors.sparkSession
     rows = materialise(usable(vectors), "vectors")
@@ -132,21 +148,24 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7,
         for b in batches:
             at, d = shared.value.nearest(unit(matrix(b.column(1), dims)), COPIES)
             row, col = np.nonzero(d <= np.maximum(d[:, :1] * CLOSURE, d[:, :1] + 1e-12))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at[row, col])], ["vec_id", "v", "list"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at[row, col]), pa.array(col == 0)], ["vec_id", "v", "list", "own"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows_of, lists = [], []
             for i, x in enumerate(unit(matrix(b.column(1), dims))):
-                found, d = shared.value.walk(x, beam)
-                found = found[d <= max(d[0] * ratio, d[0] + 1e-12)]
+                found = shared.value.probe(x, beam, ratio, sizes.value, ENOUGH * k + 1)
                 rows_of.append(np.full(len(found), i))
                 lists.append(found)
             row = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *rows_of]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *lists]))], ["vec_id", "v", "list"])
 
     kind = "vec_id long, v array<double>, list long"
-    postings = materialise(rows.mapInArrow(filed, kind), "postings")
+    postings = materialise(rows.mapInArrow(filed, kind + ", own boolean"), "postings")
+    held = np.zeros(len(index.centroids), dtype=np.int64)
+    for r in postings.where("own").groupBy("list").count().collect():  # one row for each list
+        held[r["list"]] = r["count"]
+    sizes = spark.sparkContext.broadcast(held)
     queries = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probed, kind), "probes")
     # one row for each list, so CENTROIDS rows at most
     pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_pieces")), "list")
