@@ -23,6 +23,12 @@ def test_query(spark, con, name):
         assert got[1]
 
 
+def test_whole_trees_are_walked(spark):
+    """No level is left out of the recursive walk."""
+    rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("region", "nation", "customer")}
+    assert QUERIES["walk_recursive_all"](spark, SF).count() == rows["region"] + rows["nation"] + rows["customer"]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

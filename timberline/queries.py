@@ -57,6 +57,12 @@ def walk_recursive(spark, sf):
     return tree.with_paths(nodes).select("doc_id", "node_id", "depth", "path")
 
 
+@query(GEO + "SELECT doc_id, node_id, depth, path FROM geo")
+def walk_recursive_all(spark, sf):
+    """walk_recursive over the whole tree, customers too."""
+    return tree.with_paths(tables.geo(spark, sf).select("doc_id", "node_id", "parent_id", "ord")).select("doc_id", "node_id", "depth", "path")
+
+
 @query(GEO + "SELECT doc_id, node_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_path, ord) AS INTEGER) AS rank FROM geo WHERE name = 'customer'")
 def elements_by_name(spark, sf):
     return tree.elements_by_name(tables.geo(spark, sf), "customer").select("doc_id", "node_id", "rank")
