@@ -229,6 +229,19 @@ def test_top_k_leaves_candidates_out_by_their_bounds():
     assert out[0][1].tolist() == [int(k) for k in np.lexsort((ids, -s)) if k != 0][:20]
 
 
+@pytest.mark.parametrize("far", [1e5, 1e9, 1e17])
+def test_top_k_with_an_extreme_pivot(far):
+    rng = np.random.default_rng(7)
+    x = np.floor(64 * nearest.unit(rng.normal(size=(3000, 16))))
+    ids = np.arange(3000, dtype=np.int64)
+    pivots = np.floor(far * nearest.unit(rng.normal(size=(16, 16))))
+    for i, got, score in top_k.block_top(ids[:40], x[:40], ids, x, pivots, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want = np.lexsort((ids, -s))[:20]
+        assert got.tolist() == want.tolist() and score.tolist() == s[want].tolist()
+
+
 # ---- toxicity
 
 

@@ -24,6 +24,8 @@ from timberline.llm.storage import materialise
 PIVOTS, CANDIDATES, QUERIES = 16, 4096, 2048
 #: Candidates that a query evaluates before it uses its k-th score.
 FIRST = 256
+#: Error that a distance's difference may have; `upper` in block_top() is widened by more than that amounts to.
+SLACK = 3e-3
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -40,9 +42,16 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     x_sq, q_sq = (x * x).sum(1), (q * q).sum(1)
+    single = len(q) > 0 and len(x) > 0 and q_sq.max() * x_sq.max() < 2.0**46
+    if len(q) and len(x) and len(pivots):
+        # greatest sums of a query's and a candidate's distance to each pivot: what rounding is in proportion to
+        near = np.sqrt(q_sq.max()) + np.sqrt(x_sq.max())
+        reach = near + 2 * np.sqrt((pivots * pivots).sum(1))
+        single = single and near * 2.0**-23 <= SLACK / 2
+        pivots = pivots[reach * (2.0**-23 if single else 2.0**-44) <= SLACK]  # a pivot too far off gives no bound
     to_x = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(x), 0))
     to_q = np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(2)) if len(pivots) else np.zeros((len(q), 0))
-    if len(q) and len(x) and q_sq.max() * x_sq.max() < 2.0**46:
+    if single:
         # no partial sum of a product reaches 2^24, so single precision is exact for these integers
         x, q, to_x, to_q, x_sq, q_sq = (a.astype(np.float32) for a in (x, q, to_x, to_q, x_sq, q_sq))
     to_x = np.ascontiguousarray(to_x.T)
