@@ -396,6 +396,13 @@ def test_pages_equal_their_articles(spark):
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
 
 
+@pytest.mark.parametrize("inside", ["<math><mi>E</mi>=<mi>m</mi></math>", "<object data='x'>E=m</object>", "<noscript>E=m</noscript>", "<svg><path d='M0'/><text>E=m</text></svg>", "<canvas>E=m</canvas>", "<video><source src='v'>E=m</video>", "<audio>E=m", "<template>E=m</template>"])
+def test_formulas_and_fallbacks_are_judged(inside):
+    page = f"<body><article><p>The well known law, found long ago, says that {inside} holds, in a sentence that is long enough.</p><p>More text, after it, is kept as well, as it should be.</p></article></body>"
+    got = html_text.main_text(page)
+    assert "E=m" in got and "More text, after it" in got
+
+
 def test_odd_pages(spark):
     odd = [None, "", "<", "plain", "<p>a<p>b", "</div></p>x", "<script>never closed <p>x", "<!-- open", "<a b='>'>t</a>", "<nav>m</nav>", "<p>" * 3000 + "x"]
     df = spark.createDataFrame([(i, h, "c") for i, h in enumerate(odd)], "page_id long, html string, text string")

@@ -24,9 +24,11 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-#: Fixed values of HTML: elements without content, with raw text, and those that break a line of text.
+#: Fixed values of HTML: elements without content, with raw text, of other vocabularies (where
+#: a tag may close itself), and those that break a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math xmp noembed noframes object canvas audio video".split())
+RAW = set("script style textarea title iframe xmp noembed noframes".split())
+FOREIGN = ("svg", "math")
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -110,8 +112,6 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
         if tag in RAW:
             if tag in BLOCKS:
                 flush()
-            if m[3].endswith("/") and tag in ("svg", "math"):
-                continue
             lower = lower or page.translate(ASCII_LOWER)
             end = lower.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
@@ -121,7 +121,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
             flush()
         if tag == "br":
             text.append(" ")
-        if tag in VOID:
+        if tag in VOID or m[3].endswith("/") and (tag in FOREIGN or any(opened.get(f) for f in FOREIGN)):
             continue
         closes = CLOSES.get(tag)
         if closes and any(opened.get(c) for c in closes):
