@@ -149,6 +149,19 @@ def bind_attributes(spark, sf):
     return top.select("doc_id", F.array_sort(F.map_keys(bind.bind_attributes(F.col("attribs"), F.col("type_name"), catalog))).alias("names"))
 
 
+#: The lineitems with the number that they have as nodes.
+LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS node_id FROM lineitem)"
+
+
+@query(f"""SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS node_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ['key', 'status'] ELSE ['key', 'priority', 'status'] END AS names FROM orders
+UNION ALL SELECT l_orderkey, node_id, ['line', 'part'] FROM {LINES}""")
+def bind_attributes_all(spark, sf):
+    """bind_attributes over the whole tree, lineitems too."""
+    catalog = compile_xsd(fixtures.ORDER)
+    nodes = bind.resolve(tables.orders_tree(spark, sf), catalog)
+    return nodes.select("doc_id", "node_id", F.array_sort(F.map_keys(bind.bind_attributes(F.col("attribs"), F.col("type_name"), catalog))).alias("names"))
+
+
 @query("SELECT l_orderkey AS doc_id, l_partkey AS part, 0 AS decl_ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS INTEGER) AS bound_ord FROM lineitem")
 def bind_elements(spark, sf):
     rows = bind.bind_elements(tables.orders_tree(spark, sf), compile_xsd(fixtures.ORDER))
@@ -189,6 +202,17 @@ def attr_defaults(spark, sf):
     return top.select("doc_id", bind.attribute_or_default(F.col("attribs"), "Order", "status", catalog).alias("status"), bind.attribute_or_default(without, "Order", "status", catalog).alias("without"))
 
 
+@query(f"""SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS node_id, o_orderstatus AS status, 'O' AS without, CAST(NULL AS BIGINT) AS part, CAST(NULL AS INTEGER) AS line FROM orders
+UNION ALL SELECT l_orderkey, node_id, NULL, NULL, CASE WHEN l_partkey > 0 THEN l_partkey END, CAST(l_linenumber AS INTEGER) FROM {LINES}""")
+def attr_defaults_all(spark, sf):
+    """attr_defaults over the whole tree: each typed attribute of orders and lineitems, with the default where there is one."""
+    catalog = compile_xsd(fixtures.ORDER)
+    nodes = bind.resolve(tables.orders_tree(spark, sf), catalog)
+    without = F.map_filter("attribs", lambda k, v: k != "status")
+    of = lambda t, name, attribs=F.col("attribs"): F.when(F.col("type_name") == t, bind.attribute_or_default(attribs, t, name, catalog))
+    return nodes.select("doc_id", "node_id", of("Order", "status").alias("status"), of("Order", "status", without).alias("without"), of("Line", "part").cast("long").alias("part"), of("Line", "line").alias("line"))
+
+
 @query("""SELECT p_partkey, kind, n FROM part, LATERAL (VALUES ('size', CASE WHEN TRY_CAST(p_size AS BIGINT) IS NOT NULL THEN 'int' END), ('price', 'float'), ('name', 'string')) t(n, kind)""")
 def try_convert(spark, sf):
     p = table(spark, sf, "part")
