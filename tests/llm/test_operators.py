@@ -123,6 +123,27 @@ def test_repeated_rows_follow_the_mix_and_keep_columns(spark):
     assert got == {i: t for i, t in times.items() if t}
 
 
+def test_repeated_tells_rows_of_equal_id_and_size_apart_by_their_content(spark):
+    rng = random.Random(3)
+    rows = [(7, f"{rng.choice('abcdef')} {rng.choice('uvwxyz')} t", "dup") for _ in range(200)] + [(i, "w " * (1 + i % 5), "other") for i in range(100, 140)]
+    df = docs_of(spark, rows).withColumn("extra", F.create_map(F.lit("k"), F.lit(1)))
+    runs = [sorted((r.doc_id, r.text) for r in mixing.repeated(x).collect()) for x in (df, df.repartition(7, "text"))]
+    assert runs[0] == runs[1]
+    by_id = mixing.targets(df.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size")))
+    for r in by_id.collect():
+        words = sum(len(t.split()) for i, t in runs[0] if (i == 7) == (r.source == "dup"))
+        assert abs(words - r.target) <= 2.5
+
+
+@pytest.mark.parametrize("n", [1, 9000])
+def test_some_of_many_equal_rows_are_taken(spark, n):
+    df = docs_of(spark, [(1, "a b c", "s")] * n + [(2, "x " * (2 * n), "t")])
+    out = mixing.repeated(df).groupBy("doc_id").count().collect()
+    want = {r.source: r.target for r in mixing.targets(spark.createDataFrame([("s", 3 * n), ("t", 2 * n)], "source string, source_size long")).collect()}
+    got = {r.doc_id: r["count"] for r in out}
+    assert abs(3 * got[1] - want["s"]) <= 1.5 and abs(2 * n * got.get(2, 0) - want["t"]) <= n
+
+
 # ---- nearest neighbours and exact top-k
 
 
@@ -527,4 +548,7 @@ def test_one_of_each_and_edges(spark):
     out = simhash.one_of_each(df)
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), r.text, r.source) for r in out.collect()) == [("3", "a b c d", "s"), ("9", None, "s"), ("None", "z y x", "s")]
-    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
+    assert simhash.near_duplicates(docs_of(spark, [])).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0
+    maps = df.withColumn("_hash1", F.create_map(F.lit("k"), F.col("source"))).withColumn("_row", F.array(F.lit(None).cast("int")))
+    assert simhash.one_of_each(maps).columns == maps.columns and simhash.one_of_each(maps).count() == 3
+    assert sorted(map(str, simhash.one_of_each(df.union(df)).collect())) == sorted(map(str, out.collect()))

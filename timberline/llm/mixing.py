@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timberline.llm.storage import materialise
+from timberline.llm.rows import row_hashes
+from timberline.sources.shared import materialise
 
 #: Hex digits of the hash that each level adds; the hash has HASH of them.
 DIGITS, HASH = 3, 64
+#: Copies of one row that a task makes at once.
+COPIES = 4096
 #: Sorts after every hex digit.
 ABOVE = "g"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -49,51 +52,56 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: flo
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """source, source_size, target, times and upto: every document is taken `times` times, and once more if its hash
-    is below `upto`. rows: source, size, hash."""
+    """source, source_size, target, times, upto, copies and some: every document is taken `times` times, and once more
+    if its hash is below `upto`. Where copies > 0, so many documents with words (one, or equal rows) have a hash that
+    starts with `upto`; `some` of these are taken once more. rows: source, size, hash."""
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     bound = goal.withColumn("times", times).withColumn("left", F.col("target") - F.col("times") * F.col("source_size"))
-    bound = materialise(bound.withColumn("upto", F.lit("")).withColumn("open", F.col("left") > 0), "bounds")
+    zero = F.lit(0).cast("long")
+    bound = bound.withColumn("upto", F.lit("")).withColumn("open", F.col("left") > 0).withColumn("copies", zero).withColumn("some", zero)
+    bound = materialise(bound, "bounds")
     head = ["source", "source_size", "target", "times"]
     for digits in range(0, HASH, DIGITS):
         if bound.where("open").isEmpty():
             break
         b = bound.where("open").select(F.col("source").alias("_source"), "upto")
         inside = rows.where("size > 0").join(b, F.col("source").eqNullSafe(F.col("_source")) & (F.col("upto") == F.substring("hash", 1, digits)))
-        bucket = F.substring("hash", digits + 1, DIGITS)
-        hist = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+        bucket, mark = F.substring("hash", digits + 1, DIGITS), F.xxhash64("hash")
+        hist = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"), F.count("*").alias("n"), (F.min(mark) == F.max(mark)).alias("one"))
         hist = hist.withColumn("before", F.sum("sum").over(W.partitionBy("source").orderBy("bucket")) - F.col("sum"))
         left = bound.where("open").select(F.col("source").alias("_source"), F.col("left"))
         at = hist.join(left, F.col("source").eqNullSafe(F.col("_source"))).where(F.col("before") + F.col("sum") > F.col("left"))
-        at = at.groupBy("_source").agg(F.min(F.struct("bucket", "before", "n", "sum")).alias("at"))
+        at = at.groupBy("_source").agg(F.min(F.struct("bucket", "before", "n", "sum", "one")).alias("at"))
         found = bound.join(at, F.col("source").eqNullSafe(F.col("_source")) & F.col("open"), "left")
         rest = F.col("left") - F.col("at.before")
-        last = (F.col("at.n") == 1) | F.lit(digits + DIGITS >= HASH)
-        # one document is left in the bucket: it is taken if that comes nearer to the budget
-        upto = (
-            F.when(~F.col("open"), F.col("upto"))
-            .when(F.col("at").isNull(), F.concat("upto", F.lit(ABOVE)))
-            .when(~last, F.concat("upto", F.col("at.bucket")))
-            .otherwise(F.concat("upto", F.col("at.bucket"), F.when(rest * 2 >= F.col("at.sum"), ABOVE).otherwise("")))
-        )
-        bound = materialise(
-            found.select(*head, F.when(F.col("open") & F.col("at").isNotNull(), rest).otherwise(F.col("left")).alias("left"), upto.alias("upto"), (F.col("open") & F.col("at").isNotNull() & ~last).alias("open")), "bounds"
-        )
-    return bound.select(*head, "upto")
-
-
-def hashed(rows: DataFrame) -> DataFrame:
-    """rows with the column hash: md5 of doc_id and size, then of the row's place, which tells equal rows apart only."""
-    place = F.md5(F.monotonically_increasing_id().cast("string"))
-    return rows.withColumn("hash", F.concat(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string"))), place))
+        here = F.col("open") & F.col("at").isNotNull()
+        upto = F.when(~F.col("open"), F.col("upto")).when(F.col("at").isNull(), F.concat("upto", F.lit(ABOVE))).otherwise(F.concat("upto", F.col("at.bucket")))
+        # one hash is left in the bucket: of its equal documents as many are taken as come nearest to the budget
+        last = here & F.col("at.one")
+        some = F.floor(rest * F.col("at.n") / F.col("at.sum") + 0.5).cast("long")
+        bound = found.select(
+            *head, F.when(here, rest).otherwise(F.col("left")).alias("left"), upto.alias("upto"), (here & ~F.col("at.one")).alias("open"),
+            F.when(last, F.col("at.n")).otherwise(F.col("copies")).alias("copies"), F.when(last, some).otherwise(F.col("some")).alias("some"),
+        )
+        bound = materialise(bound, "bounds")
+    return bound.select(*head, "upto", "copies", "some")
+
+
+def key_hash() -> Column:
+    """md5 of doc_id and size: documents are taken in its order."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("size").cast("string")))
+
 
+def _last() -> Column:
+    """Documents in the bucket where the budget ends."""
+    return (F.col("copies") > 0) & (F.col("size") > 0) & F.col("hash").startswith(F.col("upto"))
 
-def _taken(rows: DataFrame, narrow: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
-    """rows with source_size, target and times; narrow: their source, size and hash, written."""
+
+def _bounded(rows: DataFrame, narrow: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
+    """rows with the bounds of their source; narrow: their source, size and hash, written."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     bound = thresholds(narrow, targets(sizes, weights, share, limit)).withColumnRenamed("source", "_source")
-    found = rows.join(bound, F.col("source").eqNullSafe(F.col("_source")))
-    return found.withColumn("times", F.col("times") + (F.col("hash") < F.col("upto")).cast("int"))
+    return rows.join(bound, F.col("source").eqNullSafe(F.col("_source")))
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0) -> DataFrame:
@@ -101,19 +109,40 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
 
     times: how often the mix takes the document, from 0 to `limit` rounded up. Reruns agree: which documents are taken
     follows from doc_id and size. A null source is a source of its own, a null size counts as 0. Rows of size 0 are
-    taken `times` of their source or not at all. Equal rows are told apart by their place; which of them is taken makes
-    no difference. An empty table gives no rows; sources without words have target 0.
+    taken `times` of their source or not at all. Equal rows are told apart by their place, which is written with them;
+    as they are equal, it makes no difference which of them is taken. An empty table gives no rows; sources without
+    words have target 0.
     """
     rows = rows.select("doc_id", F.col("source").cast("string"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
-    rows = materialise(hashed(rows), "sizes")
-    return _taken(rows, rows, weights, share, limit).select("doc_id", "source", "size", "source_size", "target", "times")
+    place = F.md5(F.monotonically_increasing_id().cast("string"))
+    rows = materialise(rows.withColumn("hash", F.concat(key_hash(), place)), "sizes")
+    found = _bounded(rows, rows, weights, share, limit)
+    more = (F.col("hash") < F.col("upto")) | (_last() & (F.col("some") > 0))
+    return found.select("doc_id", "source", "size", "source_size", "target", (F.col("times") + more.cast("int")).alias("times"))
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, limit: float = 3.0) -> DataFrame:
-    """docs as the mix takes them by their words: each row as often as it is taken, with the same columns. Only ids,
-    sources, sizes and hashes are written on the way, not the texts."""
+    """docs as the mix takes them by their words: each row as often as it is taken, with the same columns. Only
+    sources, sizes and hashes are written on the way, not the texts.
+
+    The hash of a row ends in one of its whole content, so reruns agree whatever the partitions. Equal rows have one
+    hash; where the budget ends among them, the right number of copies is made from one of them. A null source is a
+    source of its own; null and empty texts have size 0 and are taken as often as their source is as a whole. An empty
+    table gives no rows. Extra columns may have any name and type.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = hashed(docs.select(row, "doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
+    content = F.concat(*[F.lpad(F.hex(h), 16, "0") for h in row_hashes(docs)])
+    rows = docs.select(row, "doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"), content.alias("_content"))
+    # 60 bits of the order by id and size, then the content: few levels lead to it where ids and sizes are equal
+    rows = rows.select("_row", "source", "size", F.concat(F.substring(key_hash(), 1, 15), "_content").alias("hash"))
     narrow = materialise(rows.select("source", "size", "hash"), "sizes")
-    times = _taken(rows, narrow, weights, share, limit).where("times > 0")
-    return times.select("_row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
+    found = _bounded(rows, narrow, weights, share, limit)
+    split = _last() & (F.col("copies") > 1)  # equal rows of which only some are taken once more
+    more = (F.col("hash") < F.col("upto")) | (_last() & (F.col("some") > 0))
+    whole = found.where(~split).withColumn("n", F.col("times") + more.cast("int")).where("n > 0")
+    whole = whole.select("_row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("_row.*")
+    # one row for each source at most, made into blocks of copies first, so no task makes all of them
+    some = found.where(split).groupBy("hash").agg(F.any_value("_row").alias("_row"), F.max(F.col("copies") * F.col("times") + F.col("some")).alias("n")).where("n > 0")
+    blocks = some.select("_row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("block")).repartition("block")
+    each = blocks.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("block") * COPIES)))).select("_row.*")
+    return whole.unionByName(each)

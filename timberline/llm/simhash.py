@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from timberline.llm.storage import materialise
+from timberline.llm.rows import comparable, row_hashes
+from timberline.sources.shared import materialise
 
 #: Bits of each segment; 64 in sum, 23 at most each.
 SEGMENTS = (22, 21, 21)
@@ -65,15 +65,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) for each row; null texts count as empty."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and the long columns of `keep` for each row; null texts count as empty."""
+    names = ["doc_id", "fp", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---- keys
@@ -268,14 +270,13 @@ def stars(edges: DataFrame) -> DataFrame:
 # ---- the operator
 
 
-def _found(docs: DataFrame, width: int, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of all rows, and (fp, root, component_id) of all fingerprints; both written."""
-    fps = materialise(fingerprints(docs, width), "fingerprints")
+def _components(fps: DataFrame, distance: int) -> DataFrame:
+    """fp, root and component_id of all fingerprints of fps (doc_id, fp), written."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "distinct_fingerprints")
     star = stars(links(distinct, distance)).select(F.col("a").alias("root"), F.col("b").alias("fp"))
     member = distinct.join(star, "fp", "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
     whole = member.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return fps, materialise(member.join(whole, "root").select("fp", "root", "component_id"), "components")
+    return materialise(member.join(whole, "root").select("fp", "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
@@ -288,28 +289,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     stay and get the same component. A null doc_id is kept; a component of null ids only has a null component_id.
     An empty table gives no rows. Texts are read whole.
     """
-    fps, label = _found(docs, width, distance)
-    return fps.join(label, "fp").select("doc_id", "fp", "root", "component_id")
+    fps = materialise(fingerprints(docs, width), "fingerprints")
+    return fps.join(_components(fps, distance), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 3, distance: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component the row with the least doc_id (nulls last); of several such rows
-    the least one over all columns. All columns are kept."""
-    fps, label = _found(docs, width, distance)
-    ids = fps.join(label, "fp").groupBy("doc_id").agg(F.min("root").alias("_root"), F.max("root").alias("_last"), F.min("component_id").alias("_component"))
-    # an id of rows with several texts, and the null id, don't tell a row's component: those rows' texts are read again
-    plain = F.col("doc_id").isNotNull() & (F.col("_root") == F.col("_last"))
-    ids = materialise(ids.select(F.col("doc_id").alias("_id"), "_component", plain.alias("_plain")).where(~plain | (F.col("doc_id") == F.col("_component"))), "stay")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text"))
-    same = F.col("_doc").eqNullSafe(F.col("_id"))
-    kept = rows.join(ids.where("_plain"), same).groupBy("_id").agg(F.min("_row").alias("_row")).select("_row")
-    again = rows.join(ids.where("NOT _plain"), same, "left_semi")
-    schema = T.StructType([again.schema["_row"], T.StructField("_doc", T.LongType()), T.StructField("fp", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(2)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["_row", "_doc", "fp"])
+    the least one over all columns, once. All columns are kept.
 
-    told = again.mapInArrow(run, schema).join(label, "fp").where(F.col("_doc").eqNullSafe(F.col("component_id")))
-    return kept.unionByName(told.groupBy("root").agg(F.min("_row").alias("_row")).select("_row")).select("_row.*")
+    What decides is found on ids, fingerprints and row hashes. Texts are read for the fingerprints, and once more for
+    the rows that stay, which a join by row hash picks; only rows that share their component's least doc_id are
+    compared whole. Null and empty texts have fingerprint 0 and are a component like any other. An empty table gives no
+    rows. Extra columns may have any name and type.
+    """
+    own = ["_hash1", "_hash2"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, *[h.alias(n) for h, n in zip(row_hashes(docs), own, strict=True)], "doc_id", "text")
+    fps = materialise(fingerprints(rows, width, tuple(own)), "fingerprints")
+    least = fps.join(_components(fps, distance), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = materialise(least.groupBy("root").agg(F.count("*").alias("n"), *[F.max(h).alias(h) for h in own]), "stay")
+    rows = rows.select("_row", *own)
+    # the narrow side is built, the texts stream past it: at every size the same join, without a sort of texts
+    kept = rows.join(stay.where("n = 1").select(own).hint("shuffle_hash"), own, "left_semi").select("_row")
+    if not stay.where("n > 1").isEmpty():
+        ties = least.join(stay.where("n > 1").select("root"), "root", "left_semi").select("root", *own).distinct()
+        tied = rows.join(ties, own).groupBy("root").agg(F.min_by("_row", F.struct(*comparable(docs, "_row."))).alias("_row"))
+        kept = kept.unionByName(tied.select("_row"))
+    return kept.select("_row.*")
