@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timberline.llm.encoding import encoder
+from timberline.sources.shared import materialise
 
 #: Lengths in a block of the two-level suffix sums.
 BLOCK = 1024
@@ -58,16 +59,16 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """For each context limit: docs that exceed it and the tokens that stay if every document is cut to it."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in sorted(set(limits))], "context long")
-    over = F.col("length") > F.col("context")
-    # the limits are a stated list, the histogram is pre-aggregated
-    return (
-        sums.join(F.broadcast(asked))
-        .groupBy("context")
-        .agg(F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("docs_over"), F.sum(F.least("length", "context") * F.col("docs")).alias("truncated"))
-    )
+    """For each context limit (context): docs_over, the docs that exceed it, and truncated, the tokens that stay if
+    every document is cut to it. Both follow from the suffix sums of the least length above the limit. Null limits and
+    an empty table give no rows; a repeated limit gives one."""
+    asked = sorted({int(x) for x in limits if x is not None})
+    zero, kind = F.lit(0).cast("long"), "struct<length:bigint,docs_at_least:bigint,tokens_at_least:bigint>"
+    next_ = [F.min(F.when(F.col("length") > c, F.struct("length", "docs_at_least", "tokens_at_least"))).cast(kind) for c in asked]
+    one = sums.agg(F.max("total_tokens").alias("total"), F.array(*next_).cast(f"array<{kind}>").alias("next")).where("total IS NOT NULL")
+    each = one.select("total", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in asked]).cast("array<bigint>").alias("context"), "next")).alias("x"))
+    over, tokens = F.coalesce("x.next.docs_at_least", zero), F.coalesce("x.next.tokens_at_least", zero)
+    return each.select("x.context", over.alias("docs_over"), (F.col("total") - tokens + F.col("x.context") * over).alias("truncated"))
 
 
 def quantiles(sums: DataFrame, at: list[float]) -> DataFrame:
@@ -76,5 +77,10 @@ def quantiles(sums: DataFrame, at: list[float]) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """suffix_sums() of the exact lengths of all documents. Repeated rows count as often as they occur."""
-    return suffix_sums(histogram(lengths(docs, tokenizer)))
+    """suffix_sums() of the exact lengths of all documents.
+
+    Null and empty texts have length 0; repeated rows, and null ids, count as often as they occur; texts are whole. An
+    empty table gives no rows. Other columns aren't read. The histogram is written, as the sums read it twice and
+    encoding is by far the dearest step.
+    """
+    return suffix_sums(materialise(histogram(lengths(docs, tokenizer)), "histogram"))
