@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -431,6 +432,41 @@ def test_odd_pages(spark):
     assert got[0] == got[1] == got[6] == got[7] == got[9] == "" and got[4] == "a\n\nb" and got[3] == "plain" and got[10] == "x"
 
 
+PROSE = "<p>The well known law, found long ago, says that this holds, in a sentence that is long enough to count.</p><p>More text, after it, is kept as well, as it should be.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar"><article>%s</article><div class="sidebar"><p>Other things to read that are long enough to look like prose.</p></div></div>', '<main class="no-sidebar">%s</main>', '<article class="post comments-open category-ads">%s</article>',
+        '<article><div class="tags">%s</div></article>', '<article>%s<div class="tags"><a href=x>one</a> <a href=y>two</a></div></article>', '<div class="sidebar-right"><main>%s</main></div>', '<div>%s</div><div id="comments"><article class="comment"><p>Nice post!</p></article></div>',
+        '<article>%s<div class="ad">Buy this long advert text now, it is really great and you would never want to miss the chance to get it, we are sure of it.</div></article>', '<main><article>%s<div class="cookie-notice"><p>We use cookies.</p></div></article></main>',
+        '<div>%s</div><section class="comments"><article><p>' + "Nice post, a very long comment on all of it, and more. " * 9 + "</p></article></section>",
+    ],
+)
+def test_layout_words_flags_and_weak_signs(page):
+    text = "\n\n".join(x for x in PROSE.replace("</p>", "").split("<p>") if x)
+    assert html_text.main_text(page % PROSE) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a ="> "', "<a x='", "<h1>", "<", "<!--", "</p>", "<script>", "<p><button>", "<i>", '<a b="', "&", "<p>x</p><div class=ad>y</div>"])
+def test_a_megabyte_of_broken_markup_takes_linear_time(unit):
+    def took(n):
+        start = time.process_time()
+        html_text.main_text(unit * (n // len(unit)))
+        return time.process_time() - start
+
+    assert took(1_000_000) < 20 * took(100_000) + 0.5
+
+
+def test_long_pages_repeated_rows_and_no_rows(spark):
+    long = "<article>" + "<p>A paragraph of a long page, as it may be, which goes on.</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, long), (1, long), (None, "<p>x</p>"), (2, "<p>" + "w" * 300_000)], "page_id long, html string")
+    got = html_text.extract(df).collect()
+    assert sorted(len(r.text) for r in got) == [1, 300_000, 20_000 * 58 - 2, 20_000 * 58 - 2]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(4)
     for _ in range(60):

@@ -2,7 +2,7 @@
 
 A page is cut into text blocks (runs of text that no block-level tag divides). A linear classifier over each block's
 ancestors, their class, id and role words, its links and its text gives the cost of calling it content or boilerplate;
-these are the capacities to the two terminals. Blocks next to each other on the page, and blocks next to each other
+these are the capacities to the two terminals. Its weights are stated below: pages carry no labels to fit them on. Blocks next to each other on the page, and blocks next to each other
 under one parent, are joined by edges whose capacity falls with their distance in the DOM. The maximum flow separates
 content from boilerplate at the least total cost.
 """
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What ends a tag or may begin or end a quoted value in it.
+MARK = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -38,17 +40,26 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 CLOSES |= {t: {"p"} for t in BLOCKS - {"p", "li", "dt", "dd", "tr", "td", "th", "option", "tbody", "button", "label", "body", "head", "html"}}
 SCOPE = set("article aside body button blockquote div dl fieldset figure footer form header html li main nav ol section table td th ul".split())
 
-#: Weights of the classifier, positive for content.
-TAGS = {"article": 4.0, "main": 3.0, "nav": -7.0, "footer": -6.0, "aside": -7.0, "header": -4.0, "form": -7.0, "button": -7.0, "select": -7.0, "menu": -6.0, "dialog": -6.0, "label": -3.0, "fieldset": -5.0, "head": -20.0}
-WORDS = {w: 2.0 for w in "article content post entry story main text".split()}
-WORDS |= {
-    w: -7.0
-    for w in "nav navbar navigation menu menubar sidebar side aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert "
-    "popup modal overlay footer foot header masthead breadcrumb breadcrumbs share sharing social related recommend recommended recommendations comment comments commentlist reply replies respond responses discussion disqus newsletter subscribe "
-    "subscription signup login signin search searchbox widget toolbar pagination pager copyright legal disclaimer paywall tags skip teaser outbrain taboola".split()
-}
-HIDDEN = -20.0
+#: Weights of the classifier. A tag or a class word is positive for content; a weak sign of boilerplate is set off against
+#: them, a strong one holds for all below it, whatever stands around or inside it.
+PLUS = {"article": 4.0, "main": 3.0}
+PLUS_WORDS = set("article content post entry story main text".split())
+PLUS_WORD, MOST = 2.0, 6.0
+STRONG_TAGS = set("nav footer aside form button select menu dialog fieldset".split())
+WEAK_TAGS = {"header": -1.0, "label": -3.0}
+STRONG_WORDS = set(
+    "nav navbar navigation menu menubar sidebar ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert "
+    "popup modal overlay footer masthead breadcrumb breadcrumbs newsletter login signin search searchbox toolbar pagination pager copyright paywall outbrain taboola".split()
+)
+COMMENT_WORDS = set("comment comments commentlist disqus".split())
+WEAK_WORDS = set("side aside foot header share sharing social related recommend recommended recommendations reply replies respond responses discussion subscribe subscription signup widget legal disclaimer tags skip teaser".split())
+#: In a class such as has-sidebar, comments-open or category-ads these say that the rest names a state or a subject, not
+#: what the element is.
+FLAGS = set("has no not with without is show hide open closed enabled disabled on off count layout theme template category cat tag type format status supports".split())
+STRONG, WEAK, HEADER, HIDDEN = -7.0, -3.0, -4.0, -20.0
 LINK, LONG, HEADING, SENTENCE, BIAS = -4.0, 1.5, 1.0, 0.5, 0.2
+#: Share of a page's prose that an article must hold for its ancestors' class words to be taken for a layout.
+MAJOR = 0.5
 #: Capacity between neighbours at DOM distance 1, and its share left where their ancestors' weights differ.
 SMOOTH, ACROSS = 2.0, 0.05
 
@@ -62,20 +73,54 @@ class Block:
     links: int
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
-    """Text blocks in page order, and the elements as (parent, tag, sum of the weights on the way from the root)."""
-    nodes: list[tuple[int, str, float]] = [(-1, "", 0.0)]
+@dataclass(slots=True)
+class Node:
+    """An element: its parent's index, its tag, its own signs (positive, weak, strong by tag, strong by class words)."""
+
+    parent: int
+    tag: str
+    plus: float = 0.0
+    weak: float = 0.0
+    strong: float = 0.0
+    worded: float = 0.0
+
+
+def tag_end(page: str, at: int, quotes: bool) -> int:
+    """Where the tag whose attributes begin at `at` ends (its >); -1 if nowhere. A quote after = hides > up to its pair."""
+    while True:
+        m = MARK.search(page, at)
+        if m is None:
+            return -1
+        at = m.end()
+        if m[0] == ">":
+            return m.start()
+        if quotes and page[m.start() - 1] == "=":
+            close = page.find(m[0], at)
+            if close < 0:
+                return -1
+            at = close + 1
+
+
+def parse(page: str) -> tuple[list[Block], list[Node]]:
+    """Text blocks in page order, and the elements, parents before their children. Takes time in proportion to the
+    page, whatever is left open in it."""
+    nodes = [Node(-1, "")]
     stack = [0]
-    opened: dict[str, int] = {}  # open elements by tag: what isn't open needn't be looked for
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements, by tag
+    scopes = [0]  # and of those of SCOPE
     blocks: list[Block] = []
     text: list[str] = []
     links = in_link = at = 0
+    last_close = page.rfind(">")
+    quotes = True
     lower = ""
 
     def pop_to(k: int) -> None:
         for i in stack[k:]:
-            opened[nodes[i][1]] -= 1
+            opened[nodes[i].tag].pop()
         del stack[k:]
+        while scopes[-1] >= k:
+            scopes.pop()
 
     def flush() -> None:
         nonlocal links
@@ -86,29 +131,52 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
             text.clear()
         links = 0
 
+    def say(part: str) -> None:
+        nonlocal links
+        if part:
+            text.append(part)
+        if in_link:
+            links += len(part.strip())
+
     while at < len(page):
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0][:2] not in ("<!", "<?") or m[0] == "<":
-                text.append(m[0])
-                if in_link:
-                    links += len(m[0].strip())
+        start = page.find("<", at)
+        if page.startswith("<!--", start) and start >= 0:
+            say(page[at:start])
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in BLOCKS or tag == "p":
+        if start < 0:
+            say(page[at:])
+            break
+        say(page[at:start])
+        if start >= last_close:  # no tag can end any more
+            say("<")
+            at = start + 1
+            continue
+        if page[start + 1] in "!?":
+            at = page.find(">", start) + 1
+            continue
+        closing = page[start + 1] == "/"
+        name = NAME.match(page, start + 1 + closing)
+        if name is None:
+            say("<")
+            at = start + 1
+            continue
+        end = tag_end(page, name.end(), quotes)
+        if end < 0:  # a quote is never closed: from here on quotes hide nothing
+            quotes = False
+            end = page.find(">", name.end())
+        at = end + 1
+        tag = name[0].lower()
+        if closing:
+            if tag in BLOCKS:
                 flush()
             if tag == "a":
                 in_link = 0
-            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
-                if nodes[stack[k]][1] == tag:
-                    pop_to(k)
-                    break
-                if nodes[stack[k]][1] in SCOPE and tag not in BLOCKS:
-                    break
+            if opened.get(tag) and (tag in BLOCKS or opened[tag][-1] >= scopes[-1]):
+                pop_to(opened[tag][-1])
             continue
+        attributes = page[name.end() : end]
         if tag in RAW:
             if tag in BLOCKS:
                 flush()
@@ -121,61 +189,92 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, str, float]]]:
             flush()
         if tag == "br":
             text.append(" ")
-        if tag in VOID or m[3].endswith("/") and (tag in FOREIGN or any(opened.get(f) for f in FOREIGN)):
+        if tag in VOID or attributes.endswith("/") and (tag in FOREIGN or any(opened.get(f) for f in FOREIGN)):
             continue
-        closes = CLOSES.get(tag)
-        if closes and any(opened.get(c) for c in closes):
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]][1] in closes:
-                    pop_to(k)
-                    break
-                if nodes[stack[k]][1] in SCOPE:
-                    break
+        closes = max((opened[c][-1] for c in CLOSES.get(tag, ()) if opened.get(c)), default=-1)
+        if closes >= scopes[-1] > -1 and closes > 0:
+            pop_to(closes)
         if tag == "a":
             in_link = 1
-        weight = nodes[stack[-1]][2] + element_weight(tag, m[3], nodes[stack[-1]][2])
-        nodes.append((stack[-1], tag, weight))
+        nodes.append(signs(stack[-1], tag, attributes))
         stack.append(len(nodes) - 1)
-        opened[tag] = opened.get(tag, 0) + 1
+        opened.setdefault(tag, []).append(len(stack) - 1)
+        if tag in SCOPE:
+            scopes.append(len(stack) - 1)
     flush()
     return blocks, nodes
 
 
-def element_weight(tag: str, attributes: str, above: float) -> float:
-    """What an element adds to the score of the blocks in it. A header inside an article counts less."""
-    weight = TAGS.get(tag, 0.0)
-    if tag == "header" and above > 0:
-        weight = -1.0
-    if "=" in attributes or "hidden" in attributes:
-        found = 0.0
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id", "role", "aria-label", "data-role"):
-                marks = [WORDS.get(w.lower(), 0.0) for w in WORD.findall(value)]
-                found = min([found, *marks]) if min(marks, default=0.0) < 0 else max([found, *marks])
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                weight += HIDDEN
-        if tag not in ("body", "html"):
-            weight += found
-    return weight
-
-
-def score(block: Block, nodes: list[tuple[int, str, float]]) -> float:
+def signs(parent: int, tag: str, attributes: str) -> Node:
+    """An element with what its tag and attributes say about the text in it."""
+    node = Node(parent, tag, PLUS.get(tag, 0.0), WEAK_TAGS.get(tag, 0.0), STRONG if tag in STRONG_TAGS else HIDDEN if tag == "head" else 0.0)
+    if tag in ("body", "html") or "=" not in attributes and "hidden" not in attributes:
+        return node
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id", "role", "aria-label", "data-role"):
+            for mark in value.split():
+                words = {w.lower() for w in WORD.findall(mark)}
+                if words & FLAGS:
+                    continue
+                if words & COMMENT_WORDS:
+                    node.strong = min(node.strong, STRONG)
+                elif words & STRONG_WORDS:
+                    node.worded = STRONG
+                elif words & WEAK_WORDS:
+                    node.weak = min(node.weak, WEAK)
+                elif words & PLUS_WORDS:
+                    node.plus = max(node.plus, PLUS_WORD)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            node.strong = HIDDEN
+    return node
+
+
+def contexts(blocks: list[Block], nodes: list[Node]) -> list[float]:
+    """What the elements on the way from the root say about the text in each element.
+
+    The article or main element with most of the page's prose (see MAJOR), unless a strong tag is around it, makes its
+    ancestors' and its own strong words void: they describe a layout, like `sidebar-right` around all of a page.
+    """
+    prose = [0] * len(nodes)
+    for b in blocks:
+        prose[b.node] += max(0, len(b.text) - b.links)
+    whole = sum(prose)
+    for i in range(len(nodes) - 1, 0, -1):
+        prose[nodes[i].parent] += prose[i]
+    tagged = [0.0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        tagged[i] = min(tagged[n.parent], n.strong)
+    own = max((i for i, n in enumerate(nodes) if n.tag in PLUS and tagged[i] == 0), key=lambda i: (prose[i], -i), default=0)
+    void = set()
+    while own > 0 and (void or prose[own] >= MAJOR * whole > 0):
+        void.add(own)
+        own = nodes[own].parent
+    plus, weak, strong = [0.0] * len(nodes), [0.0] * len(nodes), [0.0] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        up = n.parent
+        plus[i] = min(MOST, plus[up] + n.plus)
+        weak[i] = weak[up] + (HEADER if n.tag == "header" and plus[up] == 0 else n.weak)
+        strong[i] = min(strong[up], n.strong, 0.0 if i in void else n.worded)
+    return [s if s else p + w for p, w, s in zip(plus, weak, strong, strict=True)]
+
+
+def score(block: Block, tag: str, context: float) -> float:
     n = len(block.text)
-    s = nodes[block.node][2] + BIAS + LONG * min(1.0, n / 120)
+    s = context + BIAS + LONG * min(1.0, n / 120)
     s += LINK * min(1.0, block.links / n)
-    s += HEADING * (nodes[block.node][1] in ("h1", "h2", "h3")) + SENTENCE * (block.text[-1] in ".!?…\"”")
+    s += HEADING * (tag in ("h1", "h2", "h3")) + SENTENCE * (block.text[-1] in ".!?…\"”")
     return s
 
 
-def distance(a: int, b: int, nodes: list[tuple[int, str, float]]) -> int:
+def distance(a: int, b: int, nodes: list[Node]) -> int:
     """Steps in the DOM between two elements, siblings and the same element: 1."""
     steps = 0
     while a != b:
         if a > b:  # parents come before their children
-            a = nodes[a][0]
+            a = nodes[a].parent
         else:
-            b = nodes[b][0]
+            b = nodes[b].parent
         steps += 1
     return max(1, steps - 1)
 
@@ -241,19 +340,20 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
                 break
 
 
-def label(blocks: list[Block], nodes: list[tuple[int, str, float]]) -> list[bool]:
+def label(blocks: list[Block], nodes: list[Node]) -> list[bool]:
     """True for content."""
-    costs = [score(b, nodes) for b in blocks]
+    of = contexts(blocks, nodes)
+    context = [of[b.node] for b in blocks]
+    costs = [score(b, nodes[b.node].tag, c) for b, c in zip(blocks, context, strict=True)]
     if all(c > 0 for c in costs) or all(c <= 0 for c in costs):
         return [c > 0 for c in costs]  # nothing to cut
-    context = [nodes[b.node][2] for b in blocks]
     edges = []
     last: dict[tuple[int, float], int] = {}
     for i, b in enumerate(blocks):
         if i:
             near = SMOOTH / distance(blocks[i - 1].node, b.node, nodes)
             edges.append((i - 1, i, near if context[i - 1] == context[i] else near * ACROSS))
-        here = (nodes[b.node][0], context[i])
+        here = (nodes[b.node].parent, context[i])
         if last.get(here, i) < i - 1:  # the one before under this parent, with others between them
             edges.append((last[here], i, SMOOTH))
         last[here] = i
@@ -271,8 +371,10 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """pages with the column of whole html replaced by its main text (a column of that name is replaced).
 
-    A null page gives an empty text. Malformed markup is read as browsers do: unclosed and stray tags are tolerated,
-    raw-text elements end at their own end tag only. All other columns are kept; repeated rows stay.
+    A null or empty page, and one without content, gives an empty text. Malformed markup is tolerated: unclosed and
+    stray tags, quotes that never close; raw-text elements end at their own end tag only; a tag that never ends is text.
+    Pages are read whole, in time proportional to their length. All other columns are kept; repeated rows stay, each
+    with its text; an empty table gives no rows.
     """
     rest = [c for c in pages.columns if c.lower() not in (html.lower(), text.lower())]
     rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html}`").cast("string").alias(text))
