@@ -499,12 +499,52 @@ def test_rules(spark):
     assert url_filter.judge(url_rows(spark, [])).count() == 0
 
 
+def verdicts(spark, urls, rules):
+    return {r.page_id: r for r in url_filter.judge(url_rows(spark, urls), rules).collect()}
+
+
 def test_templates_generalise_and_reject_by_purity(spark):
     rules = (("block", "s.net", "/bad/1"), ("allow", "s.net", "/good/1"))
     urls = [f"http://s.net/bad/{100 + i}" for i in range(30)] + [f"http://s.net/good/{100 + i}" for i in range(30)] + [f"http://s.net/u{chr(97 + i)}x/{i}" for i in range(20)]
-    got = {r.page_id: r for r in url_filter.judge(url_rows(spark, [*urls, "http://s.net/bad/7", "http://s.net/good/7"]), rules).collect()}
-    assert got[80].template == "/bad/*" and got[80].rule is None and got[80].verdict == "block"
-    assert got[81].verdict == "allow" and got[61].template.startswith("/*")
+    got = verdicts(spark, [*urls, "http://s.net/bad/7", "http://s.net/good/7"], rules)
+    assert got[80].template == "/bad" and got[80].rule is None and got[80].verdict == "block"
+    assert got[81].template == "/good" and got[81].verdict == "allow" and got[61].template == "/?"
+
+
+@pytest.mark.parametrize("above", ["/a/b/c", "/a/b/c/d/e", "/" + "/".join("abcdefghijkl")])
+def test_a_segment_at_any_depth_tells_verdicts_apart(spark, above):
+    rules = (("block", "s.net", above + "/bad/1"), ("allow", "s.net", above + "/good/1"))
+    urls = [f"http://s.net{above}/{k}/{100 + i}" for k in ("bad", "good") for i in range(30)] + [f"http://s.net{above}/{k}/{i}" for k in ("bad", "good") for i in range(20, 40)]
+    got = verdicts(spark, urls, rules)
+    assert all(got[i].verdict == ("block" if "/bad/" in u else "allow") for i, u in enumerate(urls))
+
+
+def test_a_small_part_of_a_hot_host_keeps_its_template(spark):
+    rules = (("block", "hot.net", "/spam/1"), ("allow", "hot.net", "/s"))
+    urls = [f"http://hot.net/s{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}/{i}" for i in range(3000)] + [f"http://hot.net/spam/1{i}" for i in range(20)] + ["http://hot.net/zz/1"]
+    got = verdicts(spark, urls, rules)  # 20 of 3020 labels: below 1% of the host
+    assert got[3000].template == "/spam" and got[3000].purity > 0.5 and got[3020].verdict == "allow" and got[3020].template == "/?"
+
+
+def test_each_label_counts_once(spark):
+    rules = (("block", "m.net", "/de/"), ("allow", "m.net", "/fr/"))
+    urls = [f"http://m.net/de/{i}" for i in range(15)] + [f"http://m.net/fr/{i}" for i in range(7)] + [f"http://m.net/{x}/{i}" for x in ("en", "es") for i in range(20)]
+    got = verdicts(spark, urls, rules)
+    prior = url_filter.EVEN  # no other host has labels
+    host = (15 + 4 * prior) / (22 + 4)
+    assert got[0].template == "/de" and got[15].template == "/fr"
+    assert math.isclose(got[0].purity, (15 + 4 * (0 + 4 * prior) / (7 + 4)) / (15 + 4)) and math.isclose(got[15].purity, (0 + 4 * (15 + 4 * prior) / (15 + 4)) / (7 + 4))
+    assert {got[i].template for i in range(22, 62)} == {"/?"} and all(math.isclose(got[i].purity, host) for i in range(22, 62))
+
+
+def test_shapes_long_urls_repeats_and_odd_columns(spark):
+    urls = ["http://x.net/e5/123abc/deadbeef01/0123-4567-89ab/12345678", "http://x.net/" + "a" * 10_000, "http://x.net/" + "a1" * 5_000, "http://x.net" + "/s" * 3000, "http://x.net/" + "0" * 10_000 + "g"] + ["http://x.net/a"] * 2
+    start = time.time()
+    df = spark.createDataFrame([(i if i < 6 else None, u, i, "x") for i, u in enumerate(urls)], "page_id long, url string, n int, template string")
+    got = url_filter.judge(df).collect()
+    assert len(got) == 7 and time.time() - start < 60
+    shape = spark.createDataFrame([(u,) for u in urls], "u string").select(url_filter.shape_of(url_filter.path_of(F.col("u"))).alias("s")).collect()
+    assert [r.s for r in shape[:3]] == ["/e{n}/{n}abc/{h}/{h}/{n}", "/" + "a" * 10_000, "/{h}"] and shape[4].s == "/{n}g"
 
 
 # ---- SimHash
