@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import chat, html_text, mixing, nearest, packing, simhash, token_counts, top_k, toxicity, url_filter
 from timberline.llm.encoding import encoder
-from timberline.llm.queries import tokenizer_path
+from timberline.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -276,7 +276,7 @@ def test_held_out_accuracy_and_misspellings(spark):
     scorer = toxicity.Scorer(model)
     got = np.array([scorer.score(r.text) >= 0.5 for r in rows])
     want = np.array([r.toxic == 1 for r in rows])
-    assert (got & want).sum() >= 0.8 * want.sum()  # some rows are labelled toxic without any toxic word
+    assert (got & want).sum() >= 0.85 * want.sum()  # some rows are labelled toxic without any toxic word
     assert (got & ~want).sum() <= 0.03 * (~want).sum()
     assert scorer.score("the clownn and idiots of") > scorer.score("the anthing and others of")
     assert scorer.score("") == scorer.score(None) and 0 <= scorer.score("") < 0.5
@@ -293,6 +293,40 @@ def test_toxicity_edges(spark):
     assert {r.toxic for r in none.collect()} == {False}
     assert toxicity.judge(df.limit(0), labels).count() == 0
     assert toxicity.keep_clean(df, labels.limit(0)).columns == df.columns
+    clash = df.withColumn("_id", F.lit(1)).withColumn("_toxic", F.lit("x")).withColumn("_text", F.lit(2.0)).withColumn("_toxicity", F.lit(9))
+    assert toxicity.keep_clean(clash, labels).columns == clash.columns and toxicity.keep_clean(clash, labels).count() <= len(rows)
+    again = toxicity.judge(df.union(df), labels).groupBy("doc_id", "text").agg(F.countDistinct("toxicity").alias("n"))
+    assert {r.n for r in again.collect()} == {1}
+
+
+def brute_score(model, text):
+    w = toxicity.words(text)
+    if not w:
+        return 1 / (1 + math.exp(-model.bias))
+    logits = []
+    for at in range(len(w)):
+        rows = [r for x in w[at : at + toxicity.WINDOW] for r in toxicity.word_rows(x)]
+        logits.append(model.bias + sum(float(model.rows[r]) for r in rows) / len(rows))
+    return 1 / (1 + math.exp(-max(-60, min(60, max(logits)))))
+
+
+def test_scores_equal_a_plain_average_of_rows_in_every_window(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in QUERIES["op4_toxicity"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, t in list(texts.items())[:60]:
+        assert math.isclose(got[i], brute_score(model, t), rel_tol=1e-3, abs_tol=1e-6)
+
+
+def test_no_row_is_left_out_of_the_fit_for_its_length():
+    rows = [("calm words of no harm at all here", 0)] * 30 + [("word " * 40_000 + "vile moron", 1), ("x " * 3, 1), ("", 1), (None, 0)]
+    tokens, doc, label, vocabulary = toxicity.sample_windows(rows, 500, 1)
+    assert len(label) == 32 and set(doc.tolist()) == set(range(32)) and len(tokens) <= 500 and tokens.shape[1] == toxicity.WINDOW
+    for sizes, total in ([[1, 5, 9], 9], [[3, 3], 100], [[10, 10], 4], [[], 5]):
+        c = toxicity.allowance(np.array(sizes, dtype=int), total)
+        assert c >= 1 and sum(min(x, c) for x in sizes) <= max(total, len(sizes)) and (not sizes or c >= max(sizes) or sum(min(x, c + 1) for x in sizes) > total)
 
 
 def test_a_word_far_down_a_long_text_counts():

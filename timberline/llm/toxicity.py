@@ -3,8 +3,8 @@
 A word is the bag of its character n-grams (with word boundaries) and itself, each hashed to a row of an embedding
 table; words never seen, such as misspellings, share n-gram rows with words that were. The rows of a window of words
 are averaged and go through a linear softmax of two classes; embeddings and softmax are trained together by Adam on
-the cross entropy. A document's score is that of its most toxic window, and windows cover the whole text, so one
-insult in a long document isn't averaged away. In training a toxic document teaches through its most toxic window (all
+the cross entropy. A document's score is that of its most toxic window; a window begins at every word, so one
+insult in a long document isn't averaged away and no phrase is cut. In training a toxic document teaches through its most toxic window (all
 of them in the first round), a clean one through every window.
 
 Because the two-class softmax over an average is linear, a word's contribution is one number; workers keep them in a
@@ -30,10 +30,17 @@ WORD = re.compile(r"\w+")
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: Words in a window.
 WINDOW = 5
-#: Labelled toxic and clean rows that the model is fitted on, taken in order of a hash of doc_id; of these, texts of
-#: more than TRAIN_CHARS characters and what comes after TRAIN_GRAMS n-grams are left out of the fit (never of the
-#: scoring).
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_GRAMS = (1500, 2500), 30_000, 25_000_000
+#: Labelled toxic and clean rows that the model is fitted on, taken in order of a hash of doc_id, and windows of them: where
+#: they have more, each row gives the same number at most, drawn from its whole text, so none is left out for its
+#: length. Scoring knows no bound.
+TRAIN_ROWS, TRAIN_WINDOWS = (1500, 2500), 250_000
+#: Clean windows below this logit are easy: one in EASY of them is used in a round, with EASY times the weight.
+EASY_LOGIT, EASY = -4.0, 8
+#: After this share of the rounds, a toxic document without a window above this logit is left out of a round: the others
+#: don't bear its label out.
+TRUST, DOUBT = 0.1, 0.0
+#: Windows of a step, and steps that a small sample takes at least.
+BATCH, STEPS = 2048, 48
 #: Words that a worker remembers, in each of two generations.
 CACHE_WORDS = 150_000
 
@@ -82,80 +89,121 @@ class Scorer(dict):
         logit = self.model.bias
         if w:
             each = np.fromiter(map(self.__getitem__, w), dtype=np.complex128, count=len(w))
-            sums = np.add.reduceat(each, np.arange(0, len(w), WINDOW))
-            logit += float((sums.real / sums.imag).max())
+            sums = np.concatenate([np.zeros(1, dtype=np.complex128), np.cumsum(each)])
+            ends = np.minimum(np.arange(len(w)) + WINDOW, len(w))
+            windows = sums[ends] - sums[:-1]  # one from each word on, shorter where the text ends
+            logit += float((windows.real / windows.imag).max())
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 24, rate: float = 0.2, seed: int = 7) -> Model:
-    """A model from (text, label) rows. Without rows of both classes every score is the share of label 1, or 0."""
-    ids, starts, doc, label = array("i"), array("q"), array("i"), []
-    cache: dict[str, array] = {}
-    total = 0
-    for text, y in rows:
-        w = words(text)
-        if total > TRAIN_GRAMS or not w:
+def allowance(sizes: np.ndarray, total: int) -> int:
+    """The greatest number c for which min(size, c) adds up to `total` at most, and 1 at least."""
+    order = np.sort(sizes)
+    below = np.append(0, np.cumsum(order))[:-1]
+    left = len(order) - np.arange(len(order))
+    fits = np.flatnonzero(below + left * order <= total)
+    if len(fits) == len(order):
+        return int(order[-1]) if len(order) else 1
+    k = len(fits)
+    return max(1, int((total - below[k]) // left[k]))
+
+
+def sample_windows(rows: list[tuple[str | None, int]], total: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """(words as numbers, n windows x WINDOW, -1 where the text has ended; document of each window; labels; the words)."""
+    rng = np.random.default_rng(seed)
+    sizes = np.array([-(-sum(1 for _ in WORD.finditer(t.lower())) // WINDOW) if t else 0 for t, _ in rows], dtype=np.int64)
+    most = allowance(sizes[sizes > 0], total)
+    vocabulary: dict[str, int] = {}
+    found, doc, label = array("i"), array("i"), []
+    for (text, y), size in zip(rows, sizes, strict=True):
+        if not size:
             continue
-        for at in range(0, len(w), WINDOW):
-            starts.append(total)
+        w = words(text)
+        picked = range(size) if size <= most else np.sort(rng.choice(size, most, replace=False)).tolist()
+        for k in picked:
+            part = [vocabulary.setdefault(x, len(vocabulary)) for x in w[k * WINDOW : (k + 1) * WINDOW]]
+            found.extend(part + [-1] * (WINDOW - len(part)))
             doc.append(len(label))
-            for x in w[at : at + WINDOW]:
-                rows_of = cache.get(x)
-                if rows_of is None:
-                    rows_of = cache[x] = array("i", word_rows(x))
-                ids.extend(rows_of)
-            total = len(ids)
         label.append(y)
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-    del cache
-    share = float(np.mean(label)) if label else 0.0
+    return np.frombuffer(found, dtype=np.int32).reshape(-1, WINDOW), np.frombuffer(doc, dtype=np.int32), np.array(label, dtype=np.int64), vocabulary
+
+
+def fit(rows: list[tuple[str | None, int]], rounds: int = 10, rate: float = 0.2, seed: int = 7, total: int = TRAIN_WINDOWS) -> Model:
+    """A model from (text, label) rows. Without rows of both classes every score is the share of label 1, or 0.
+
+    A step touches only the table's rows that its windows have: sums over n-grams are made once for each distinct word,
+    gradients go back the same way, and Adam's moments of other rows rest.
+    """
+    tokens, doc, label, vocabulary = sample_windows(rows, total, seed)
+    share = float(label.mean()) if len(label) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, dtype=np.float32), 60.0 if share else -60.0)
-    ids, starts, doc, label = np.frombuffer(ids, dtype=np.int32), np.frombuffer(starts, dtype=np.int64), np.frombuffer(doc, dtype=np.int32), np.array(label)
-    size = np.diff(np.append(starts, total))
+    grams = array("i")
+    sizes = np.zeros(len(vocabulary) + 1, dtype=np.int64)  # the last word is none: it stands for -1
+    for i, x in enumerate(vocabulary):
+        rows_of = word_rows(x)
+        grams.extend(rows_of)
+        sizes[i] = len(rows_of)
+    del vocabulary
+    grams = np.frombuffer(grams, dtype=np.int32)
+    starts = np.append(0, np.cumsum(sizes))
+    tokens = np.where(tokens < 0, len(sizes) - 1, tokens)
+    n = sizes[tokens].sum(1)
     first = np.flatnonzero(np.diff(np.append(-1, doc)))  # each document's first window
     y = label[doc]
 
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-0.01, 0.01, (BUCKETS, DIM)).astype(np.float32)
-    emb[np.bincount(ids, minlength=BUCKETS) == 0] = 0  # rows that the fit never meets add nothing
+    emb[np.bincount(grams, minlength=BUCKETS) == 0] = 0  # rows that the fit never meets add nothing
     out, bias = rng.normal(0, 0.1, DIM).astype(np.float32), 0.0
-    state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in (("emb", emb), ("out", out), ("bias", np.zeros(1, np.float32)))}
+    moments = [np.zeros((BUCKETS, DIM), np.float32), np.zeros((BUCKETS, DIM), np.float32)], [np.zeros(DIM), np.zeros(DIM)], [np.zeros(1), np.zeros(1)]
     step = 0
 
-    def adam(key: str, grad: np.ndarray, rate: float) -> np.ndarray:
-        m, v = state[key]
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        return rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    def adam(m: np.ndarray, v: np.ndarray, grad: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        return m, v, rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
-    def logits(part: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.add.reduceat((emb @ out)[part], at) / n + bias
+    def logits() -> np.ndarray:
+        """Of all windows."""
+        word = np.append(np.add.reduceat((emb @ out)[grams], starts[:-2]), 0.0)
+        return word[tokens].sum(1) / n + bias
 
+    rounds = max(rounds, -(-STEPS // -(-len(y) // BATCH)))
     for k in range(rounds):
-        used = y == 0
-        if k < 1:
-            used = np.ones(len(y), dtype=bool)
-        else:  # of a toxic document its most toxic window
-            z = logits(ids, starts, size)
+        weight = np.ones(len(y))
+        if k:  # of a toxic document its most toxic window, of clean ones what is hard and some of the rest
+            z = logits()
             top = np.maximum.reduceat(z, first)
-            used |= z >= top[doc]
-        chosen = rng.permutation(np.flatnonzero(used))
-        for at in range(0, len(chosen), 2048):
-            b = np.sort(chosen[at : at + 2048])
-            n = size[b]
-            offset = np.append(0, np.cumsum(n)[:-1])
-            part = ids[np.repeat(starts[b] - offset, n) + np.arange(n.sum())]
-            z = logits(part, offset, n)
-            miss = (1 / (1 + np.exp(-z)) - y[b]) / len(b)
-            each = np.bincount(part, weights=np.repeat(miss / n, n), minlength=BUCKETS).astype(np.float32)
+            easy = (y == 0) & (z < EASY_LOGIT)
+            weight = np.where(easy, EASY * (rng.random(len(y)) < 1 / EASY), 1.0)
+            weight[(y == 1) & ((z < top[doc]) | (top[doc] < DOUBT) & (k >= TRUST * rounds))] = 0
+        chosen = rng.permutation(np.flatnonzero(weight))
+        for at in range(0, len(chosen), BATCH):
+            b = chosen[at : at + BATCH]
+            used, inverse = np.unique(tokens[b], return_inverse=True)
+            inverse = inverse.reshape(len(b), WINDOW)
+            size = sizes[used]
+            offset = np.append(0, np.cumsum(size))
+            part = grams[np.repeat(starts[used] - offset[:-1], size) + np.arange(offset[-1])]
+            touched = np.flatnonzero(np.bincount(part, minlength=BUCKETS))
+            share_of = np.zeros(BUCKETS, dtype=np.float32)
+            share_of[touched] = emb[touched] @ out
+            sums = np.append(0.0, np.cumsum(share_of[part], dtype=np.float64))
+            word = sums[offset[1:]] - sums[offset[:-1]]
+            z = word[inverse].sum(1) / n[b] + bias
+            miss = weight[b] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[b]) / len(b)
+            back = np.bincount(inverse.ravel(), weights=np.repeat(miss / n[b], WINDOW), minlength=len(used))
+            each = np.bincount(part, weights=np.repeat(back, size), minlength=BUCKETS)[touched].astype(np.float32)
             step += 1
             pace = rate * (1 - k / rounds)
-            g_out = emb.T @ each
-            emb -= adam("emb", each[:, None] * out, pace)
-            out -= adam("out", g_out, pace)
-            bias -= float(adam("bias", np.array([miss.sum()], np.float32), pace)[0])
+            (m, v), of_out, of_bias = moments
+            g_out = emb[touched].T @ each
+            m[touched], v[touched], change = adam(m[touched], v[touched], each[:, None] * out, pace)
+            emb[touched] -= change
+            of_out[0], of_out[1], change = adam(*of_out, g_out, pace)
+            out = (out - change).astype(np.float32)
+            of_bias[0], of_bias[1], change = adam(*of_bias, np.array([miss.sum()]), pace)
+            bias -= float(change[0])
     return Model((emb @ out).astype(np.float32), bias)
 
 
@@ -164,19 +212,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """A model from so many labelled toxic and clean documents at most, none of them held out.
 
-    A doc_id with several labels is toxic if any of them says so; null labels and ids count as none. The sample is the
-    same for the same tables, whatever their partitions.
+    A doc_id with several labels is toxic if any of them says so; null labels and ids count as none. Of rows with one
+    doc_id those that come first by a hash of their text are taken while the bound lasts. The sample is the same for the
+    same tables, whatever their partitions. Other columns are ignored, whatever their names.
     """
     one = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     order = [F.xxhash64("_id"), F.col("_id")]
     some = one.where("_toxic = 1").orderBy(*order).limit(rows[0]).unionByName(one.where("_toxic = 0").orderBy(*order).limit(rows[1]))
     # at most sum(rows) ids of 12 bytes: a fixed bound
-    found = docs.join(F.broadcast(some), F.col("doc_id").cast("long") == F.col("_id")).where(F.length("text") <= chars)
-    got = found.select("_id", "_toxic", F.col("text").cast("string").alias("_text")).orderBy(*order, F.xxhash64("_text")).limit(sum(rows))
-    return fit([(r._text, r._toxic) for r in got.toLocalIterator()])
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    got = texts.join(F.broadcast(some), "_id").orderBy(*order, F.xxhash64("_text"), "_text").limit(sum(rows))
+    return fit([(r._text, r._toxic) for r in got.select("_toxic", "_text").toLocalIterator()])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
@@ -196,13 +245,19 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with toxicity (0 to 1) and toxic (boolean); the model is fitted on the labelled rows that aren't held out."""
+    """docs with toxicity (0 to 1) and toxic (boolean); the model is fitted on the labelled rows that aren't held out.
+
+    Null and empty texts, and texts without words, have the score of the bias alone; every text is scored whole.
+    Repeated rows get one score; an empty table gives no rows; without labels of both kinds every score is 0 or 1.
+    Extra columns are kept; one named toxicity or toxic is replaced.
+    """
     scored = score(docs, train(docs, labels), "toxicity")
     return scored.withColumn("toxic", F.col("toxicity") >= threshold)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the model doesn't reject, with the same columns."""
+    """The rows of docs that the model doesn't reject, with the same columns, whatever their names. For null and empty
+    texts, repeated rows and empty tables see judge()."""
     own = "_toxicity".ljust(1 + max(map(len, docs.columns)), "_")  # longer than any name of docs
     scored = score(docs, train(docs, labels), own)
     return scored.where(F.col(own) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
