@@ -264,6 +264,44 @@ def test_top_k_with_an_extreme_pivot(far):
         assert got.tolist() == want.tolist() and score.tolist() == s[want].tolist()
 
 
+def test_top_k_repeated_ids_overflow_and_no_rows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i % 90, [float(v) for v in rng.normal(size=6)]) for i in range(180)] + [(20, [0.5] * 6)] * 3 + [(None, [1.0] * 6)]
+    got: dict = {}
+    for r in top_k.search(vectors_of(spark, rows).withColumn("row", F.lit("x")).withColumn("cell", F.lit(1)), k=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    ids = np.array([i for i, _ in rows[:-1]])
+    z = np.floor(64 * np.array([v for _, v in rows[:-1]], dtype=np.float32).astype(float)).astype(int)
+    want: dict = {}
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = z @ z[at]
+        order = [k for k in np.lexsort((ids, -s)) if k != at][:7]
+        want.setdefault(int(ids[at]), []).extend((n + 1, int(ids[k]), int(s[k])) for n, k in enumerate(order))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+    assert top_k.search(vectors_of(spark, [])).count() == 0 and top_k.search(vectors_of(spark, BAD)).count() == 0
+    with pytest.raises(Exception, match="exceed 2\\^53"):
+        top_k.search(vectors_of(spark, [(0, [1e18] * 6), (1, [1.0] * 6)])).count()
+
+
+def test_whole_cells_are_left_out_by_their_bounds():
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8)) * 100
+    rows = [(i, (centers[i % 12] + rng.normal(size=8)).tolist()) for i in range(1200)]
+    x = np.floor(64 * np.array([v for _, v in rows], dtype=np.float32).astype(float))
+    pivots = x[:12]
+    near = top_k.distances(x, pivots)
+    cell = near.argmin(1)
+    cells = top_k.Cells(np.bincount(cell, minlength=12), np.array([(x[cell == c] ** 2).sum(1).max() for c in range(12)]), np.array([near[cell == c].min(0) for c in range(12)]), np.array([near[cell == c].max(0) for c in range(12)]))
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    kth = np.array([np.sort(score[i, cell == cell[i]])[-20] for i in range(len(x))])
+    passes = cells.open((x * x).sum(1), near, kth)
+    assert passes.mean() < 0.6
+    for i in range(0, len(x), 7):  # no cell that is left out holds a row of the result
+        best = np.argsort(-score[i], kind="stable")[:20]
+        assert passes[i, cell[best]].all()
+
+
 # ---- toxicity
 
 
