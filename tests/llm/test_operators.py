@@ -182,8 +182,77 @@ def test_nearest_edges(spark):
     assert [g[2] for g in got if g[0] == 0] == [1, 2, 3, 4, 5]  # ties to the smaller id
     assert len([g for g in got if g[0] == 50]) == 5 and {g[0] for g in got} == {0, 50}
     assert nearest.search(vectors_of(spark, BAD[:2])).count() == 0
-    alone = nearest.search(vectors_of(spark, [(0, [1.0] * 8), (1, [1.0] * 8), (1, [1.0] * 8)])).collect()
+    alone = nearest.search(vectors_of(spark, [(0, [1.0] * 8), (1, [1.0] * 8)]).withColumn("row", F.lit("x")).withColumn("list", F.lit(1))).collect()
     assert [(r.query_id, r.vec_id) for r in alone] == [(0, 1)]
+    again = nearest.search(vectors_of(spark, [(0, [1.0] * 8), (1, [1.0] * 8), (1, [1.0] * 8), (0, [3.0] * 8)])).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in again) == sorted([(0, 1, 0), (0, 2, 1), (0, 3, 1)] * 2)
+    big = nearest.search(vectors_of(spark, [(0, [1e30] * 8), (1, [1e-30] * 8), (2, [1e30] * 7 + [-1e30])])).collect()
+    assert [(r.query_id, r.vec_id, round(r.score, 9)) for r in sorted(big, key=lambda r: r.rank)] == [(0, 1, 1.0), (0, 2, 0.75)]
+
+
+def test_scores_do_not_depend_on_the_block():
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(700, 64)), rng.normal(size=64)
+    whole = nearest.cosines(q, x)
+    for _ in range(100):
+        some = rng.choice(700, rng.integers(1, 40), replace=False)
+        assert (nearest.cosines(q, x[some]) == whole[some]).all()
+
+
+def test_copies_in_many_pieces_give_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PIECE", 50)
+    monkeypatch.setattr(nearest, "QUERIES", 3)
+    monkeypatch.setattr(nearest, "LIST", 40)
+    rng = np.random.default_rng(9)
+    copy = rng.normal(size=32).tolist()
+    rows = [(i, copy if i % 3 else rng.normal(size=32).tolist()) for i in range(1500)]
+    got: dict = {}
+    for r in nearest.search(vectors_of(spark, rows).repartition(13)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in got:
+        if q % 3:
+            assert [v for _, v in sorted(got[q])] == [1, 2, 4, 5, 7]
+
+
+def test_recall_of_the_operator_on_clusters_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 64)
+    rng = np.random.default_rng(10)
+    centers = rng.normal(size=(150, 32))
+    x = (centers[rng.integers(0, 150, 9000)] + 0.35 * rng.normal(size=(9000, 32))).astype(np.float32)
+    df = vectors_of(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    made = nearest.plan(df, 50, 5, 0.7, 1.35)
+    lists, share = made.postings.select("list").distinct().count(), made.share()
+    assert lists >= 100 and share < 0.2
+    got: dict = {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    m = nearest.unit(x.astype(float))
+    hits = 0
+    for q, ids in got.items():
+        s = m @ m[q]
+        s[q] = -9
+        hits += len(ids & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    print(f"lists {lists}, share {share:.3f}, recall {hits / (5 * len(got)):.3f}")
+    assert len(got) == 180 and hits / (5 * len(got)) >= 0.95
+
+
+def test_recall_of_the_operator_without_clusters_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 20)  # 100 lists, so seven tenths of them are not all
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    share = nearest.plan(df, 50, 5, 0.7, 1.35).share()
+    m = {r.vec_id: np.array(r.embedding, dtype=float) for r in df.collect()}
+    ids = np.array(sorted(m))
+    x = nearest.unit(np.stack([m[i] for i in ids]))
+    got: dict = {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[np.searchsorted(ids, q)]
+        s[np.searchsorted(ids, q)] = -9
+        hits += len(found & set(ids[np.argsort(-s, kind="stable")[:5]].tolist()))
+    print(f"share {share:.3f}, recall {hits / (5 * len(got)):.3f}")
+    assert hits / (5 * len(got)) >= 0.9
 
 
 def test_isolated_groups_get_all_neighbours(spark, monkeypatch):

@@ -30,6 +30,8 @@ LIST, PIECE, QUERIES = 256, 4096, 2048
 CLOSURE, COPIES = 1.02, 3
 #: Rows, for each neighbour asked for, that a query's nearest lists must hold before a list may be dropped.
 ENOUGH = 8
+#: Rounding that a score from a matrix product may have.
+MARGIN = 1e-9
 #: Edges of a centroid in the graph.
 DEGREE = 24
 
@@ -106,10 +108,10 @@ def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> Index:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (doubles) of the vectors that take part: vec_id not null, the vector neither null, empty nor zero,
-    all components finite. A vec_id that repeats keeps its least vector."""
+    all components finite. Rows that repeat a vec_id are rows like any other."""
     x = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0)
-    return vectors.where(good).select(F.col("vec_id").cast("long"), x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -122,79 +124,125 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+    """Rows of length 1; very long and very short ones don't overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7, ratio: float = 1.35) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score (cosine) for the k nearest found of each query, ties to smaller vec_id.
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosine of one vector with each row. A pair's sums run over its own row in one order, so its score is the same
+    whatever rows it is computed with."""
+    scale = lambda a: a / np.abs(a).max(axis=-1, keepdims=True)
+    q, x = scale(q[None]), np.ascontiguousarray(scale(x))
+    return (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
 
-    Queries: rows whose vec_id is divisible by `every`; candidates: every row but the query's own. probes: the share
-    of the centroids that a query's walk keeps; ratio: lists farther than that times the nearest are dropped. Neither
-    leaves a query with fewer than k rows where there are more: see Index.probe(). What takes part: see usable(). An empty table gives no rows. All rows are filed; only the fit uses a sample.
-    """
+
+def block_best(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(position of the query, positions of its k best in order and scores): a matrix product picks them with a margin
+    for its rounding, cosines() decides. Ties to the smaller id."""
+    near_q, near_x = unit(q), unit(x)
+    for at in range(0, len(q), 256):
+        s = near_q[at : at + 256] @ near_x.T
+        s[q_rows[at : at + 256, None] == rows[None]] = -np.inf
+        for i, row in enumerate(s):
+            some = np.flatnonzero((row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))] - MARGIN) & (row > -np.inf))
+            score = cosines(q[at + i], x[some])
+            order = np.lexsort((rows[some], ids[some], -score))[:k]
+            yield at + i, some[order], score[order]
+
+
+@dataclass
+class Plan:
+    """rows: row, vec_id, v of what takes part; postings: rows by list; probes: queries by the lists that they read."""
+
+    rows: DataFrame
+    postings: DataFrame
+    probes: DataFrame
+
+    def share(self) -> float:
+        """Rows that a query is compared with, as a share of all rows: copies in several lists count each."""
+        sizes = self.postings.groupBy("list").agg(F.count("*").alias("n"))
+        compared = self.probes.join(sizes, "list").agg(F.sum("n")).first()[0] or 0
+        return compared / max(1, self.probes.select("row").distinct().count() * self.rows.count())
+
+
+def plan(vectors: DataFrame, every: int, k: int, probes: float, ratio: float) -> Plan | None:
+    """The index, with every row filed and every query routed; None if nothing takes part."""
     spark = vectors.sparkSession
-    rows = materialise(usable(vectors), "vectors")
+    rows = materialise(usable(vectors).withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "v"), "vectors")
     n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     # a hash threshold leaves about twice the sample, so that partitions don't each send one to the driver
     share = min(1 << 20, -(-2 * SAMPLE * (1 << 20) // n))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(1 << 20)) < share).orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).toArrow()
     index = fit(unit(matrix(sample.column("v").combine_chunks(), dims)), min(CENTROIDS, max(1, n // LIST)))
     shared = spark.sparkContext.broadcast(index)  # CENTROIDS vectors at most
     beam = max(8, math.ceil(probes * len(index.centroids)))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, d = shared.value.nearest(unit(matrix(b.column(1), dims)), COPIES)
+            at, d = shared.value.nearest(unit(matrix(b.column(2), dims)), COPIES)
             row, col = np.nonzero(d <= np.maximum(d[:, :1] * CLOSURE, d[:, :1] + 1e-12))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(at[row, col]), pa.array(col == 0)], ["vec_id", "v", "list", "own"])
+            take = [c.take(pa.array(row)) for c in b.columns]
+            yield pa.RecordBatch.from_arrays([*take, pa.array(at[row, col]), pa.array(col == 0)], ["row", "vec_id", "v", "list", "own"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype=np.int64)
         for b in batches:
-            rows_of, lists = [], []
-            for i, x in enumerate(unit(matrix(b.column(1), dims))):
-                found = shared.value.probe(x, beam, ratio, sizes.value, ENOUGH * k + 1)
-                rows_of.append(np.full(len(found), i))
-                lists.append(found)
-            row = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *rows_of]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *lists]))], ["vec_id", "v", "list"])
-
-    kind = "vec_id long, v array<double>, list long"
+            found = [shared.value.probe(x, beam, ratio, sizes.value, ENOUGH * k + 1) for x in unit(matrix(b.column(2), dims))]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(np.concatenate([none, *found]))], ["row", "vec_id", "v", "list"])
+
+    kind = "row long, vec_id long, v array<double>, list long"
     postings = materialise(rows.mapInArrow(filed, kind + ", own boolean"), "postings")
     held = np.zeros(len(index.centroids), dtype=np.int64)
     for r in postings.where("own").groupBy("list").count().collect():  # one row for each list
         held[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(held)
     queries = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probed, kind), "probes")
+    return Plan(rows, postings, queries)
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7, ratio: float = 1.35) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score (cosine) for the k nearest found of each query, ties to smaller vec_id.
+
+    Queries: rows whose vec_id is divisible by `every`; candidates: every row but the query's own. Rows that repeat a
+    vec_id are queries and candidates each, of each other too. probes: the share of the centroids that a query's walk
+    keeps; ratio: lists farther than that times the nearest are dropped. Neither leaves a query with fewer than k rows
+    where there are more: see Index.probe(). What takes part: see usable(). An empty table gives no rows. Other columns
+    are ignored, whatever their names. All rows are filed; only the fit uses a sample.
+    """
+    spark = vectors.sparkSession
+    made = plan(vectors, every, k, probes, ratio)
+    if made is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    postings, queries = made.postings, made.probes
+    dims = made.rows.agg(F.max(F.size("v"))).first()[0]
     # one row for each list, so CENTROIDS rows at most
     pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_pieces")), "list")
     deal = F.broadcast(materialise(pieces, "pieces"))
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = queries.join(deal, "list").select("vec_id", "v", "list", spread("pieces").alias("piece"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("q_pieces")).cast("int").alias("q_piece"))
-    right = postings.join(deal, "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("pieces")).cast("int").alias("piece"), spread("q_pieces").alias("q_piece"))
+    head = ("row", "vec_id", "v", "list")
+    left = queries.join(deal, "list").select(*head, spread("pieces").alias("piece"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("q_pieces")).cast("int").alias("q_piece"))
+    right = postings.join(deal, "list").select(*head, F.pmod(F.xxhash64("row", F.lit(2)), F.col("pieces")).cast("int").alias("piece"), spread("q_pieces").alias("q_piece"))
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         out = []
         if len(q) and len(c):
-            c = c.sort_by("vec_id")
+            of = lambda t, name: t.column(name).to_numpy()
             x, y = matrix(q.column("v").combine_chunks(), dims), matrix(c.column("v").combine_chunks(), dims)
-            q_ids, ids = q.column("vec_id").to_numpy(), c.column("vec_id").to_numpy()
-            x_len, y_len = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-            for at in range(0, len(x), 256):
-                s = x[at : at + 256] @ y.T / (x_len[at : at + 256, None] * y_len[None])
-                s[q_ids[at : at + 256, None] == ids[None]] = -np.inf
-                for i, row in enumerate(s):
-                    some = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])  # with all ties
-                    some = some[np.lexsort((ids[some], -row[some]))][:k]
-                    some = some[row[some] > -np.inf]
-                    out.append((int(q_ids[at + i]), ids[some].tolist(), row[some].tolist()))
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "ids": pa.array(cols[1], pa.list_(pa.int64())), "scores": pa.array(cols[2], pa.list_(pa.float64()))})
+            q_rows, q_ids, rows, ids = of(q, "row"), of(q, "vec_id"), of(c, "row"), of(c, "vec_id")
+            for i, at, score in block_best(x, q_rows, y, rows, ids, k):
+                out.append((int(q_rows[i]), int(q_ids[i]), rows[at].tolist(), ids[at].tolist(), score.tolist()))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("query", "query_id", "rows", "ids", "scores"), cols, kinds, strict=True)})
 
     cell = ["list", "piece", "q_piece"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, "query_id long, ids array<long>, scores array<double>")
-    each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    each = each.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # a vector may stand in several lists
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(best, "query long, query_id long, rows array<long>, ids array<long>, scores array<double>")
+    each = found.select("query", "query_id", F.explode(F.arrays_zip("rows", "ids", "scores")).alias("x"))
+    # a vector may stand in several lists, with the same score in each
+    each = each.groupBy("query", "query_id", F.col("x.rows").alias("row"), F.col("x.ids").alias("vec_id")).agg(F.max("x.scores").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
