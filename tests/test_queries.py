@@ -26,8 +26,8 @@ def test_query(spark, con, name):
 def test_whole_trees_are_walked_and_bound(spark):
     """No level is left out of the recursive walk or of binding."""
     rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("region", "nation", "customer", "orders", "lineitem")}
-    assert QUERIES["walk_recursive_all"](spark, SF).count() == rows["region"] + rows["nation"] + rows["customer"]
-    for name in ("bind_attributes_all", "attr_defaults_all"):
+    assert QUERIES["walk_recursive"](spark, SF).count() == rows["region"] + rows["nation"] + rows["customer"]
+    for name in ("bind_attributes", "attr_defaults"):
         assert QUERIES[name](spark, SF).count() == rows["orders"] + rows["lineitem"]
 
 

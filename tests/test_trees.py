@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions import text as X
 from timberline.functions import vectors as V
-from timberline.operators import lattice, tree, writer
+from timberline.operators import bind, lattice, tree, writer
 from timberline.plans import pipeline
 from timberline.sources.xml import shred
 
@@ -50,7 +50,8 @@ def test_namespaced_attributes_are_written_as_xml(spark):
     text = '<r xmlns="urn:a" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns:p="urn:p" xsi:schemaLocation="urn:a a.xsd" xml:lang="en" p:q="1" q="2"><k p:z="3"/></r>'
     n = nodes_of(spark, text)
     again = shred(writer.write_tree(n).withColumnRenamed("xml", "text")).orderBy("node_id").collect()
-    assert again[0].attribs == {at: "urn:a a.xsd", "{http://www.w3.org/XML/1998/namespace}lang": "en", "q": "2"} and again[1].attribs == {"z": "3"}
+    # p:q beside q keeps its namespace
+    assert again[0].attribs == {at: "urn:a a.xsd", "{http://www.w3.org/XML/1998/namespace}lang": "en", "q": "2", "{urn:p}q": "1"} and again[1].attribs == {"z": "3"}
     assert pipeline.Engine(spark, None).locations(n).first()[1:] == ("schemaLocation", "urn:a", "a.xsd", None)
 
 
@@ -167,3 +168,64 @@ def test_streaming_errors(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.code for r in spark.table("row_errors").collect()] == ["unreadable_data"]
+
+
+def test_numbers_over_several_ranges(spark):
+    rows = [(i % 3 if i % 5 else None, i, f"/{(i * 7919) % 10_007:010d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, node_id long, path string").repartition(11)
+    got = {(r.doc_id, r.node_id): r.n for r in tree.numbered(df, "n", "path").collect()}
+    want = {}
+    for d in {r[0] for r in rows}:
+        want |= {(d, r[1]): k + 1 for k, r in enumerate(sorted((r for r in rows if r[0] == d), key=lambda r: r[2]))}
+    assert got == want
+    assert tree.numbered(df.limit(0), "n", "path").count() == 0
+
+
+def test_python_visitor(spark):
+    import pyarrow as pa
+
+    def visitor(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([len(x) for x in b.column("path").to_pylist()], pa.int32())], ["name", "n"])
+
+    got = tree.visit_rows(nodes_of(spark, "<a><b/></a>"), visitor, "name string, n int").collect()
+    assert sorted((r.name, r.n) for r in got) == [("a", 11), ("b", 22)]
+
+
+def test_schema_found_through_the_documents(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "r.xsd").write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r" type="R"/><xs:complexType name="R"><xs:sequence><xs:element name="k" type="xs:int"/></xs:sequence></xs:complexType></xs:schema>')
+    xsi = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:noNamespaceSchemaLocation'
+    texts = [f'<r {xsi}="r.xsd"><k>z</k></r>', f'<r {xsi}="gone.xsd"><k>1</k></r>', "<r><k>1</k></r>", "<r>", f'<r {xsi}="r.xsd"><k>1</k></r>']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = pipeline.Engine(spark)
+    got = sorted((str(r.doc_id), r.code) for r in e.errors(e.load(docs), base=str(tmp_path)).collect())
+    assert got == [("0", "unreadable_data"), ("1", "root_mismatch"), ("2", "no_schema_location"), ("3", "malformed_xml"), ("None", "schema_unreachable")]
+
+
+def test_errors_of_schemas_are_rows(spark, tmp_path):
+    from timberline.operators.validate import validate
+    from timberline.sources.xsd import compile_xsd
+
+    n = nodes_of(spark, "<r/>")
+    bad = compile_xsd("<xs:schema")
+    assert {r.code for r in validate(n, bad).collect()} == {"malformed_schema", "root_mismatch"}
+    odd = compile_xsd('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r" type="Nope"/><xs:any/></xs:schema>')
+    assert {"unsupported_tag", "unknown_type"} <= {r.code for r in validate(n, odd).collect()}
+
+
+def test_unwritable_attributes_are_listed(spark):
+    n = nodes_of(spark, "<r a='1'/>").withColumn("attribs", F.create_map(F.lit("1 bad"), F.lit("x"), F.lit("a"), F.lit("1")))
+    assert [(r.code, r.name) for r in writer.invalid_attributes(n).collect()] == [("attribute_unwritable", "1 bad")]
+
+
+def test_numbers_in_exports_have_no_exponent(spark):
+    got = spark.createDataFrame([(-8.08e-4,), (-6.5e-5,), (1e40,), (float("nan"),), (None,), (-0.0,)], "x double").select(lattice.number(F.col("x"), 6).alias("n")).collect()
+    assert [r.n for r in got] == ["-0.000808", "-0.000065", "1.0E40", "NaN", None, "0.000000"]
+
+
+def test_single_child_of_a_primitive(spark):
+    n = nodes_of(spark, "<r><a><v>5</v></a><b><v>1</v><v>2</v></b><c x='7'/><d/><e x='1' y='2'><v>9</v></e></r>")
+    got = {r.name: r.typed for r in bind.bind_primitives(n, "int").where("depth = 1").collect()}
+    assert got == {"a": 5, "b": None, "c": 7, "d": None, "e": 9}
+    assert bind.bind_primitives(n, "boolean").where("name = 'd'").first().typed is True

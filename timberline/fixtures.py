@@ -27,3 +27,15 @@ CUSTOMER = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
   <xs:complexType name="Customer"><xs:sequence><xs:element name="name" type="xs:string"/><xs:element name="balance" type="xs:double"/></xs:sequence>
     <xs:attribute name="key" type="xs:int" use="required"/></xs:complexType>
 </xs:schema>"""
+
+CHOICE = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+  <xs:element name="order" type="Order"/>
+  <xs:complexType name="Order"><xs:choice minOccurs="2" maxOccurs="3"><xs:element name="lineitem" type="Line"/><xs:element name="note" type="xs:string"/></xs:choice></xs:complexType>
+  <xs:complexType name="Line"><xs:attribute name="part" type="xs:positiveInteger"/><xs:attribute name="line" type="xs:int"/></xs:complexType>
+</xs:schema>"""
+
+IDENTIFIERS = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema">
+  <xs:element name="order" type="Order"/>
+  <xs:complexType name="Order"><xs:sequence><xs:element name="lineitem" type="Line" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType>
+  <xs:complexType name="Line"><xs:attribute name="part" type="xs:IDREF"/><xs:attribute name="line" type="xs:ID"/></xs:complexType>
+</xs:schema>"""

@@ -104,7 +104,23 @@ def bind_elements(nodes: DataFrame, catalog: Catalog) -> DataFrame:
     return rows.withColumn("bound_ord", F.row_number().over(W.partitionBy("doc_id", "parent_id").orderBy("decl_ord", "ord")))
 
 
-def primitive(value: Column, attribs: Column, builtin: str) -> Column:
-    """The value of an element of built-in type: its text, else its single attribute, else true for nothing at all."""
-    text = F.when(F.size(value) > 0, F.array_join(value, " ")).when(F.size(F.map_values(attribs)) == 1, F.element_at(F.map_values(attribs), 1)).when(F.size(F.map_values(attribs)) == 0, F.lit("true"))
+def primitive(value: Column, attribs: Column, builtin: str, child: Column | None = None) -> Column:
+    """The value of an element of built-in type: its text, else its single attribute, else the text of its single child
+    (`child`: the texts of its children, one for each), else true for nothing at all; null where none of these is told."""
+    values = F.map_values(attribs)
+    children = F.array().cast("array<string>") if child is None else child
+    text = (
+        F.when(F.size(value) > 0, F.array_join(value, " ")).when(F.size(values) == 1, F.element_at(values, 1))
+        .when(F.size(children) == 1, F.element_at(children, 1)).when((F.size(values) == 0) & (F.size(children) == 0), F.lit("true"))
+    )
     return xsdtypes.typed(text, builtin)
+
+
+def bind_primitives(nodes: DataFrame, builtin: str) -> DataFrame:
+    """nodes with typed: each one's value as a built-in type, by primitive(); its children are looked up."""
+    texts = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id"))
+    # what counts is whether there is one child: a parent's children aren't gathered
+    one = texts.agg(F.count("*").alias("_n"), F.max(F.array_join("value", " ")).alias("_text"))
+    both = nodes.join(one, ["doc_id", "node_id"], "left")
+    child = F.when(F.col("_n") == 1, F.array("_text")).when(F.col("_n") > 1, F.array(F.lit(None), F.lit(None))).otherwise(F.array()).cast("array<string>")
+    return both.withColumn("typed", primitive(F.col("value"), F.col("attribs"), builtin, child)).drop("_n", "_text")

@@ -16,6 +16,8 @@ from timberline.operators.tree import elements_by_name, place
 
 AXES = ("a1", "a2", "a3")
 XYZ = ("x", "y", "z")
+#: Decimals of the numbers in exports.
+DIGITS = 12
 
 
 def numbers(value: Column) -> Column:
@@ -112,25 +114,26 @@ def sphere_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return n.join(m, "doc_id", "left").select("doc_id", "atoms", left.alias("remaining"), F.when(left == 0, "sphere_empty").when(left == F.col("atoms"), "sphere_unchanged").alias("code"))
 
 
-def text_of(*columns: Column) -> Column:
-    return F.concat_ws(" ", *[c.cast("string") for c in columns])
+def number(value: Column, digits: int = DIGITS) -> Column:
+    """A number as plain decimal text, never with an exponent; null, infinite and huge ones as Spark writes them."""
+    return F.coalesce(F.round(value, digits).try_cast(f"decimal(38,{digits})").cast("string"), value.cast("string"))
 
 
-def format_for_visit(atoms: DataFrame, lattice: DataFrame, scale: float = 1) -> DataFrame:
+def format_for_visit(atoms: DataFrame, lattice: DataFrame, scale: float = 1, digits: int = DIGITS) -> DataFrame:
     """doc_id, line_no, line: the scale, three vectors, the number of atoms, and a line for each atom whose type has
     lost its first four characters."""
     head = atoms.groupBy("doc_id").agg(F.count("*").alias("n")).join(lattice, "doc_id")
-    lines = [F.lit(str(scale)), *[text_of(*[component(a, k) for k in range(3)]) for a in AXES], F.col("n").cast("string")]
+    lines = [F.lit(str(scale)), *[F.concat_ws(" ", *[number(component(a, k), digits) for k in range(3)]) for a in AXES], F.col("n").cast("string")]
     head = head.select("doc_id", F.posexplode(F.array(*lines)).alias("line_no", "line"))
     place_of = F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) + (len(lines) - 1)
-    body = atoms.select("doc_id", place_of.alias("line_no"), text_of(F.expr("substring(atom_type, 5)"), *[F.col(c) for c in XYZ]).alias("line"))
+    body = atoms.select("doc_id", place_of.alias("line_no"), F.concat_ws(" ", F.expr("substring(atom_type, 5)"), *[number(F.col(c), digits) for c in XYZ]).alias("line"))
     return head.unionByName(body)
 
 
-def coord_viewer(atoms: DataFrame, lattice: DataFrame, compat: bool = False) -> DataFrame:
+def coord_viewer(atoms: DataFrame, lattice: DataFrame, compat: bool = False, digits: int = DIGITS) -> DataFrame:
     """doc_id, ord, line: each atom's coordinates as a tuple."""
     rows = with_coordinates(atoms, lattice, compat)
-    return rows.select("doc_id", "ord", F.concat(F.lit("("), F.concat_ws(", ", *[F.col(f"c{c}").cast("string") for c in XYZ]), F.lit(")")).alias("line"))
+    return rows.select("doc_id", "ord", F.concat(F.lit("("), F.concat_ws(", ", *[number(F.col(f"c{c}"), digits) for c in XYZ]), F.lit(")")).alias("line"))
 
 
 NODE_COLUMNS = ["doc_id", "node_id", "parent_id", "ord", "depth", "path", "names", "name", "attribs", "value", "error"]

@@ -5,10 +5,13 @@ All of them are row-local or grouped by document; order is a column (preorder, r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timberline.sources.shared import materialise
 from timberline.sources.xml import COMMENT, WIDTH
 
 
@@ -21,23 +24,54 @@ def parent_path(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def walk(nodes: DataFrame) -> DataFrame:
-    """nodes with preorder, from 1 in each document."""
-    return nodes.withColumn("preorder", F.row_number().over(W.partitionBy("doc_id").orderBy("path")))
+def numbered(nodes: DataFrame, column: str, *order: str) -> DataFrame:
+    """nodes with their number, from 1, in each document by `order`, however many of them a document holds.
+
+    Rows are dealt out by ranges of (doc_id, order) and written, so a range stays what it is; each is numbered by
+    itself. Only documents that reach over several ranges need an offset: at most two a range, so the offsets are
+    broadcast.
+    """
+    ranged = nodes.repartitionByRange("doc_id", *order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")
+    sizes = ranged.groupBy("doc_id", "_range").agg(F.count("*").alias("_size"))
+    wide = sizes.groupBy("doc_id").agg(F.count("*").alias("_ranges")).where("_ranges > 1").select("doc_id")
+    before = F.coalesce(F.sum("_size").over(W.partitionBy("doc_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.join(wide, "doc_id", "left_semi").select(F.col("doc_id").alias("_doc"), F.col("_range").alias("_part"), before.alias("_before"))
+    here = F.row_number().over(W.partitionBy("doc_id", "_range").orderBy(*order))
+    out = ranged.withColumn(column, here).join(F.broadcast(offsets), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_range") == F.col("_part")), "left")
+    return out.withColumn(column, (F.col(column) + F.coalesce("_before", F.lit(0))).cast("int")).drop("_range", "_doc", "_part", "_before")
+
+
+def walk(nodes: DataFrame, visitor: Callable[..., Column] | None = None, *args, **kwargs) -> DataFrame:
+    """nodes with preorder, from 1 in each document; and, where a visitor is given, with visited: what it makes of each
+    node. A visitor takes (attribute names, child names, *args) as columns and gives a column over the node's own."""
+    out = numbered(nodes, "preorder", "path")
+    if visitor is None:
+        return out
+    shapes = shape(nodes).select("doc_id", "node_id", F.col("attributes").alias("_attributes"), F.col("children").alias("_children"))
+    both = out.join(shapes, ["doc_id", "node_id"])
+    return both.withColumn("visited", visitor(F.col("_attributes"), F.col("_children"), *args, **kwargs)).drop("_attributes", "_children")
+
+
+def visit_rows(nodes: DataFrame, visitor: Callable, schema: str) -> DataFrame:
+    """What a Python visitor makes of the nodes: it takes and gives iterators of Arrow batches, in no stated order. For
+    what column expressions can't say."""
+    return nodes.mapInArrow(visitor, schema)
 
 
 def with_paths(nodes: DataFrame, limit: int = 100) -> DataFrame:
     """doc_id, node_id, depth and path of nodes that have only doc_id, node_id, parent_id and ord, by a recursive query
     (one join for each level; a deeper tree than `limit` is an error). Shredded nodes have their path already."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("timberline_nodes")
-    return spark.sql(f"""
+    return nodes.sparkSession.sql(
+        f"""
         WITH RECURSIVE w(doc_id, node_id, depth, path) MAX RECURSION LEVEL {limit} AS (
-            SELECT doc_id, node_id, 0, concat('/', lpad(CAST(ord AS STRING), {WIDTH}, '0')) FROM timberline_nodes WHERE parent_id IS NULL
+            SELECT doc_id, node_id, 0, concat('/', lpad(CAST(ord AS STRING), {WIDTH}, '0')) FROM {{nodes}} WHERE parent_id IS NULL
             UNION ALL
             SELECT n.doc_id, n.node_id, w.depth + 1, concat(w.path, '/', lpad(CAST(n.ord AS STRING), {WIDTH}, '0'))
-            FROM timberline_nodes n JOIN w ON n.doc_id = w.doc_id AND n.parent_id = w.node_id)
-        SELECT * FROM w""")
+            FROM {{nodes}} n JOIN w ON n.doc_id = w.doc_id AND n.parent_id = w.node_id)
+        SELECT * FROM w""",
+        nodes=nodes,
+    )
 
 
 def layer(nodes: DataFrame) -> DataFrame:
@@ -47,8 +81,8 @@ def layer(nodes: DataFrame) -> DataFrame:
 
 def elements_by_name(nodes: DataFrame, name: str) -> DataFrame:
     """Descendants of that name with rank: by the preorder of their parent, then by their place. The root isn't one."""
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("_parent", "ord"))
-    return nodes.where((F.col("name") == name) & (F.col("depth") > 0)).withColumn("_parent", parent_path(F.col("path"))).withColumn("rank", rank).drop("_parent")
+    found = nodes.where((F.col("name") == name) & (F.col("depth") > 0)).withColumn("_parent", parent_path(F.col("path")))
+    return numbered(found, "rank", "_parent", "ord").drop("_parent")
 
 
 def all_sub_elements(nodes: DataFrame) -> DataFrame:
@@ -70,7 +104,7 @@ def find_first(nodes: DataFrame, name: str) -> DataFrame:
 
 def find_all(nodes: DataFrame, name: str) -> DataFrame:
     """Nodes of that name with rank in preorder, the root included."""
-    return nodes.where(F.col("name") == name).withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy("path")))
+    return numbered(nodes.where(F.col("name") == name), "rank", "path")
 
 
 def below(nodes: DataFrame, base: DataFrame) -> DataFrame:

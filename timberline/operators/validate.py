@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import xsdtypes
@@ -196,10 +196,20 @@ def identifier_errors(nodes: DataFrame, catalog: Catalog) -> DataFrame:
     return twice.unionByName(lost).select("doc_id", "node_id", "code", "name", F.col("type_name").alias("type"), "detail")
 
 
-def validate(nodes: DataFrame, catalog: Catalog) -> DataFrame:
-    """All errors of a node table against a catalog."""
+def catalog_errors(catalog: Catalog, spark: SparkSession) -> DataFrame:
+    """The schema's own errors (unsupported_tag, unsupported_type, unknown_type, malformed_schema, schema_unreachable) as
+    rows of no document."""
+    rows = [(None, None, code, name or "", "", detail or "") for code, name, detail in catalog.errors]
+    return spark.createDataFrame(rows, "doc_id long, node_id long, code string, name string, type string, detail string")
+
+
+def validate(nodes: DataFrame, catalog: Catalog, schema_errors: bool = True) -> DataFrame:
+    """All errors of a node table against a catalog, and the catalog's own. The checks read nodes several times: give
+    written ones where making them is dear, as Engine.load() does."""
     typed = resolve(nodes.where("error IS NULL"), catalog)
     out = root_errors(nodes, catalog)
     for part in (structure_errors, attribute_errors, element_errors, identifier_errors):
         out = out.unionByName(part(typed, catalog))
+    if schema_errors and catalog.errors:
+        out = out.unionByName(catalog_errors(catalog, nodes.sparkSession))
     return out

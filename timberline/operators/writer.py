@@ -38,12 +38,41 @@ def attributes(attribs: Column, depth: Column) -> Column:
 
 def writable(attribs: Column, depth: Column) -> Column:
     """Attributes under names that XML allows: a root's schema location under its xsi: name with the declarations it
-    needs, xml: names with their prefix, others without their namespace; what still is no name is left out."""
+    needs, xml: names with their prefix, others without their namespace. Where another attribute has that name already,
+    one of a namespace keeps it behind a prefix ns1, ns2, ... that is declared beside it; what still is no name is left
+    out (invalid_attributes() lists it)."""
     located = (depth == 0) & F.exists(F.map_keys(attribs), lambda k: k.startswith(f"{{{X.XSI}}}"))
     all_ = F.when(located, X.root_attributes(attribs)).otherwise(attribs)
-    name = lambda k: F.when(k.startswith(f"{{{XML}}}"), F.concat(F.lit("xml:"), X.local_name(k))).otherwise(X.local_name(k))
-    good = lambda k: name(k).rlike(r"^[\p{L}_][\p{L}\p{N}_.-]*(:[\p{L}_][\p{L}\p{N}_.-]*)?$") & ((name(k) == k) | ~F.array_contains(F.map_keys(all_), name(k)))
-    return F.transform_keys(F.map_filter(all_, lambda k, v: good(k)), lambda k, v: name(k))
+    good = F.map_filter(all_, lambda k, v: _valid(_written(k)))
+    names = F.array_sort(F.map_keys(good))
+    written = F.transform(names, _written)
+    spaced = lambda k: k.startswith("{") & ~k.startswith(f"{{{XML}}}")
+    # the first of a name has it: a name without namespace sorts before {
+    taken = lambda i: F.array_contains(F.slice(written, 1, i), F.element_at(written, i + 1)) & spaced(F.element_at(names, i + 1))
+    entry = lambda i: F.when(
+        taken(i),
+        F.array(
+            F.struct(F.concat(F.lit("ns"), (i + 1).cast("string"), F.lit(":"), F.element_at(written, i + 1)).alias("k"), F.element_at(good, F.element_at(names, i + 1)).alias("v")),
+            F.struct(F.concat(F.lit("xmlns:ns"), (i + 1).cast("string")).alias("k"), F.regexp_extract(F.element_at(names, i + 1), r"^\{([^}]*)\}", 1).alias("v")),
+        ),
+    ).otherwise(F.array(F.struct(F.element_at(written, i + 1).alias("k"), F.element_at(good, F.element_at(names, i + 1)).alias("v"))))
+    places = F.when(F.size(names) > 0, F.sequence(F.lit(0), F.size(names) - 1)).otherwise(F.array().cast("array<int>"))
+    clash = F.size(F.array_distinct(written)) < F.size(written)
+    return F.when(clash, F.map_from_entries(F.flatten(F.transform(places, entry)))).otherwise(F.transform_keys(good, lambda k, v: _written(k)))
+
+
+def _written(k: Column) -> Column:
+    return F.when(k.startswith(f"{{{XML}}}"), F.concat(F.lit("xml:"), X.local_name(k))).otherwise(X.local_name(k))
+
+
+def _valid(name: Column) -> Column:
+    return name.rlike(r"^[\p{L}_][\p{L}\p{N}_.-]*(:[\p{L}_][\p{L}\p{N}_.-]*)?$")
+
+
+def invalid_attributes(nodes: DataFrame) -> DataFrame:
+    """Error rows for the attributes that can't be written: their names are none in XML."""
+    bad = F.filter(F.map_keys("attribs"), lambda k: ~_valid(_written(k)))
+    return nodes.select("doc_id", "node_id", F.explode(bad).alias("name")).select("doc_id", "node_id", F.lit("attribute_unwritable").alias("code"), "name", F.lit("").alias("type"), F.lit("").alias("detail"))
 
 
 def comment(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from timberline.functions import xsdtypes as D
 from timberline.operators import bind, lattice, tree, validate, writer
 from timberline.plans import pipeline
 from timberline.sources import tables
+from timberline.sources.shared import session_dir
 from timberline.sources.tables import table
-from timberline.sources.xml import bind_text, shred
+from timberline.sources.xml import bind_text, scan, shred
 from timberline.sources.xsd import Attribute, Type, compile_xsd
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,16 +53,16 @@ def walk_preorder(spark, sf):
     return tree.walk(tables.geo(spark, sf)).select("doc_id", "node_id", "name", "depth", "preorder")
 
 
-@query(GEO + "SELECT doc_id, node_id, depth, path FROM geo WHERE depth < 2")
+@query(GEO + "SELECT doc_id, node_id, depth, path FROM geo")
 def walk_recursive(spark, sf):
-    nodes = tables.geo(spark, sf).where("depth < 2").select("doc_id", "node_id", "parent_id", "ord")
-    return tree.with_paths(nodes).select("doc_id", "node_id", "depth", "path")
+    return tree.with_paths(tables.geo(spark, sf).select("doc_id", "node_id", "parent_id", "ord")).select("doc_id", "node_id", "depth", "path")
 
 
-@query(GEO + "SELECT doc_id, node_id, depth, path FROM geo")
-def walk_recursive_all(spark, sf):
-    """walk_recursive over the whole tree, customers too."""
-    return tree.with_paths(tables.geo(spark, sf).select("doc_id", "node_id", "parent_id", "ord")).select("doc_id", "node_id", "depth", "path")
+@query(GEO + """SELECT g.doc_id, g.node_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY path) AS INTEGER) AS preorder, 'key,name/' || coalesce(n, 0) AS visited
+FROM geo g LEFT JOIN (SELECT doc_id, parent_id, count(*) AS n FROM geo GROUP BY ALL) c ON g.doc_id = c.doc_id AND g.node_id = c.parent_id""")
+def walk_visitor(spark, sf):
+    visitor = lambda attributes, children, sep: F.concat(F.array_join(attributes, ","), F.lit(sep), F.size(children).cast("string"))
+    return tree.walk(tables.geo(spark, sf), visitor, "/").select("doc_id", "node_id", "preorder", "visited")
 
 
 @query(GEO + "SELECT doc_id, node_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_path, ord) AS INTEGER) AS rank FROM geo WHERE name = 'customer'")
@@ -142,21 +144,13 @@ def bind_root(spark, sf):
     return bind.bind_root(tables.geo(spark, sf), compile_xsd(fixtures.GEO))
 
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ['key', 'status'] ELSE ['key', 'priority', 'status'] END AS names FROM orders")
-def bind_attributes(spark, sf):
-    catalog = compile_xsd(fixtures.ORDER)
-    top = bind.resolve(tables.orders_tree(spark, sf).where("depth = 0"), catalog)
-    return top.select("doc_id", F.array_sort(F.map_keys(bind.bind_attributes(F.col("attribs"), F.col("type_name"), catalog))).alias("names"))
-
-
 #: The lineitems with the number that they have as nodes.
 LINES = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS node_id FROM lineitem)"
 
 
 @query(f"""SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS node_id, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN ['key', 'status'] ELSE ['key', 'priority', 'status'] END AS names FROM orders
 UNION ALL SELECT l_orderkey, node_id, ['line', 'part'] FROM {LINES}""")
-def bind_attributes_all(spark, sf):
-    """bind_attributes over the whole tree, lineitems too."""
+def bind_attributes(spark, sf):
     catalog = compile_xsd(fixtures.ORDER)
     nodes = bind.resolve(tables.orders_tree(spark, sf), catalog)
     return nodes.select("doc_id", "node_id", F.array_sort(F.map_keys(bind.bind_attributes(F.col("attribs"), F.col("type_name"), catalog))).alias("names"))
@@ -180,6 +174,13 @@ def bind_primitive(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), bind.primitive(F.array(bal), none, "double").alias("of_text"), bind.primitive(empty, F.create_map(F.lit("v"), bal), "double").alias("of_attribute"), bind.primitive(empty, none, "boolean").alias("of_nothing"))
 
 
+@query(GEO + """SELECT g.doc_id, g.node_id, CASE WHEN g.value IS NOT NULL THEN g.value WHEN n = 1 THEN one END AS typed
+FROM geo g LEFT JOIN (SELECT doc_id, parent_id, count(*) AS n, max(value) AS one FROM geo GROUP BY ALL) c ON g.doc_id = c.doc_id AND g.node_id = c.parent_id""")
+def bind_primitives(spark, sf):
+    """Text, else the single attribute (there are two), else the single child."""
+    return bind.bind_primitives(tables.geo(spark, sf), "string").select("doc_id", "node_id", "typed")
+
+
 @query("SELECT parent, name, type, resolved, CAST(code AS VARCHAR) AS code FROM (VALUES ('schema','region','Region','schema',NULL), ('Region','nation','Nation','schema',NULL), ('Nation','customer','Customer','schema',NULL)) t(parent, name, type, resolved, code)")
 def resolve_types(spark, sf):
     return bind.resolve_types(compile_xsd(fixtures.GEO), spark)
@@ -194,18 +195,10 @@ def inherited_attributes(spark, sf):
     return bind.inherited_attributes(compile_xsd(fixtures.GEO), spark).drop("default")
 
 
-@query("SELECT o_orderkey AS doc_id, o_orderstatus AS status, 'O' AS without FROM orders")
-def attr_defaults(spark, sf):
-    catalog = compile_xsd(fixtures.ORDER)
-    top = tables.orders_tree(spark, sf).where("depth = 0")
-    without = F.map_filter("attribs", lambda k, v: k != "status")
-    return top.select("doc_id", bind.attribute_or_default(F.col("attribs"), "Order", "status", catalog).alias("status"), bind.attribute_or_default(without, "Order", "status", catalog).alias("without"))
-
-
 @query(f"""SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS node_id, o_orderstatus AS status, 'O' AS without, CAST(NULL AS BIGINT) AS part, CAST(NULL AS INTEGER) AS line FROM orders
 UNION ALL SELECT l_orderkey, node_id, NULL, NULL, CASE WHEN l_partkey > 0 THEN l_partkey END, CAST(l_linenumber AS INTEGER) FROM {LINES}""")
-def attr_defaults_all(spark, sf):
-    """attr_defaults over the whole tree: each typed attribute of orders and lineitems, with the default where there is one."""
+def attr_defaults(spark, sf):
+    """Each typed attribute of orders and lineitems, with the default where there is one."""
     catalog = compile_xsd(fixtures.ORDER)
     nodes = bind.resolve(tables.orders_tree(spark, sf), catalog)
     without = F.map_filter("attribs", lambda k, v: k != "status")
@@ -233,10 +226,11 @@ def schema_location(spark, sf):
     return spark.createDataFrame(rows, "id int, attribs map<string,string>").select("id", X.schema_location(F.col("attribs")).alias("s")).select("id", "s.*")
 
 
-@query("SELECT r_regionkey AS key, ['key', 'xmlns', 'xmlns:urn:a', 'xmlns:xsi', 'xsi:schemaLocation'] AS names FROM region")
+@query(f"SELECT r_regionkey AS key, ['key=' || r_regionkey, 'xmlns:urn:a=urn:A', 'xmlns:xsi={X.XSI}', 'xmlns=urn:A', 'xsi:schemaLocation=urn:A a.xsd'] AS entries FROM region")
 def root_ns_attrs(spark, sf):
     attribs = F.create_map(F.lit("key"), F.col("r_regionkey").cast("string"), F.lit(f"{{{X.XSI}}}schemaLocation"), F.lit("urn:A a.xsd"))
-    return table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.array_sort(F.map_keys(X.root_attributes(attribs))).alias("names"))
+    entries = F.array_sort(F.transform(F.map_entries(X.root_attributes(attribs)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), entries.alias("entries"))
 
 
 @query("SELECT '/data/' || r_name || '.xml' AS path, '/data/' || r_name || 'Parsed.xml' AS parsed, '/data/' || r_name || 'Transformed.xml' AS transformed FROM region")
@@ -292,12 +286,20 @@ def seq_errors(spark, sf):
     return e.select("doc_id", "e.name", "e.code", "e.detail")
 
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN coalesce(n, 0) < 1 THEN 'choice_none' ELSE 'choice_too_many' END AS code FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) < 1 OR n > 3")
+@query("""SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS node_id, CASE WHEN coalesce(n, 0) < 2 THEN 'choice_none' ELSE 'choice_too_many' END AS code, 'lineitem|note' AS name, 'Order' AS type, CAST(coalesce(n, 0) AS VARCHAR) AS detail
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) < 2 OR n > 3""")
 def choice_errors(spark, sf):
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    n = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    code = validate.choice_error(F.coalesce("n", F.lit(0)), -1, 3)
-    return o.select("o_orderkey").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("doc_id"), code.alias("code")).where("code IS NOT NULL")
+    catalog = compile_xsd(fixtures.CHOICE)
+    return validate.structure_errors(bind.resolve(tables.orders_tree(spark, sf), catalog), catalog)
+
+
+@query("""SELECT l_orderkey AS doc_id, 'id_duplicate' AS code, 'line' AS name, CAST(l_linenumber AS VARCHAR) AS detail, count(*) AS n FROM lineitem GROUP BY 1, 4 HAVING count(*) > 1
+UNION ALL SELECT l_orderkey, 'idref_dangling', 'part', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_partkey) GROUP BY 1, 4""")
+def identifier_errors(spark, sf):
+    """Line numbers as identifiers, parts as references to them, within each order."""
+    catalog = compile_xsd(fixtures.IDENTIFIERS)
+    found = validate.identifier_errors(bind.resolve(tables.orders_tree(spark, sf), catalog), catalog)
+    return found.groupBy("doc_id", "code", "name", "detail").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 1 ELSE p_size END AS min_occurs, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size END AS max_occurs, (p_size % 5 = 0 OR p_size > 1) AS is_list FROM part")
@@ -494,27 +496,43 @@ def sphere_cutter_report(spark, sf):
     return lattice.sphere_report(a, lattice.sphere_cutter(a, cl, RADIUS))
 
 
-@query(ATOMS + "SELECT doc_id, ord, CAST(round(cx, 6) AS VARCHAR) AS first FROM c")
+NUM = lambda x: f"CAST(CAST(round({x}, 6) AS DECIMAL(38, 6)) AS VARCHAR)"
+LINE = lambda sep, *xs: f" || '{sep}' || ".join(map(NUM, xs))
+
+
+@query(ATOMS + f"SELECT doc_id, ord, '(' || {LINE(', ', 'cx', 'cy', 'cz')} || ')' AS line FROM c")
 def coord_viewer(spark, sf):
     _, a, cl = cell(spark, sf)
-    line = F.regexp_extract("line", r"^\(([^,]*), [^,]*, [^,]*\)$", 1).cast("double")
-    return lattice.coord_viewer(a, cl).select("doc_id", "ord", F.round(line, 6).cast("string").alias("first"))
+    return lattice.coord_viewer(a, cl, digits=6)
 
 
-@query(ATOMS + """SELECT doc_id, CAST(5 + ord AS INTEGER) AS line_no, atom_type[5:] AS kind FROM a
-UNION ALL SELECT doc_id, 0, '1' FROM l UNION ALL SELECT doc_id, 1, CAST(a1[1] AS VARCHAR) FROM l UNION ALL SELECT doc_id, 2, '0.0' FROM l UNION ALL SELECT doc_id, 3, '0.125' FROM l UNION ALL SELECT doc_id, 4, CAST(count(*) AS VARCHAR) FROM a GROUP BY doc_id""")
+@query(ATOMS + f"""SELECT doc_id, CAST(5 + ord AS INTEGER) AS line_no, atom_type[5:] || ' ' || {LINE(' ', 'x', 'y', 'z')} AS line FROM a UNION ALL SELECT doc_id, 0, '2' FROM l
+UNION ALL SELECT doc_id, 1, {LINE(' ', 'a1[1]', 'a1[2]', 'a1[3]')} FROM l UNION ALL SELECT doc_id, 2, {LINE(' ', 'a2[1]', 'a2[2]', 'a2[3]')} FROM l
+UNION ALL SELECT doc_id, 3, {LINE(' ', 'a3[1]', 'a3[2]', 'a3[3]')} FROM l UNION ALL SELECT doc_id, 4, CAST(count(*) AS VARCHAR) FROM a GROUP BY doc_id""")
 def format_for_visit(spark, sf):
     _, a, cl = cell(spark, sf)
-    return lattice.format_for_visit(a, cl).select("doc_id", "line_no", F.split("line", " ")[0].alias("kind"))
+    return lattice.format_for_visit(a, cl, scale=2, digits=6)
+
 
+def crystal_path(*places: str) -> str:
+    return " || ".join(pad(p) for p in ("0", *places))
 
-@query(ATOMS + """, k AS (SELECT doc_id, count(*) FILTER (inside) AS n FROM s GROUP BY doc_id)
-SELECT doc_id, name, CAST(n AS BIGINT) AS n, depth FROM (SELECT doc_id, 'crystal' AS name, 1 AS n, 0 AS depth FROM k UNION ALL SELECT doc_id, 'bravaisLattice', 1, 1 FROM k UNION ALL SELECT doc_id, 'crystalBasis', 1, 1 FROM k UNION ALL SELECT doc_id, 'bravaisVector', 3, 2 FROM k
-UNION ALL SELECT doc_id, 'site', n, 2 FROM k UNION ALL SELECT doc_id, 'occupant', n, 3 FROM k UNION ALL SELECT doc_id, 'position', n, 3 FROM k UNION ALL SELECT doc_id, 'atom', n, 4 FROM k) WHERE n > 0""")
+
+@query(ATOMS + f""", m AS (SELECT label::BIGINT AS doc_id, max(vec_id) * 4 + 10 AS next FROM embeddings GROUP BY 1),
+k AS (SELECT s.*, next, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS row FROM s JOIN m USING (doc_id) WHERE inside),
+t AS (SELECT doc_id, 0 AS node_id, NULL AS parent_id, {crystal_path()} AS path, 'crystal' AS name, 0 AS depth, []::DOUBLE[] AS value, NULL AS ref FROM l
+UNION ALL SELECT doc_id, 1, 0, {crystal_path("0")}, 'bravaisLattice', 1, [], NULL FROM l UNION ALL SELECT doc_id, 2, 0, {crystal_path("1")}, 'crystalBasis', 1, [], NULL FROM l
+UNION ALL SELECT doc_id, next + i, 1, {crystal_path("0", "i")}, 'bravaisVector', 2, CASE i WHEN 0 THEN a1 WHEN 1 THEN a2 ELSE a3 END, NULL FROM l JOIN m USING (doc_id), range(3) r(i)
+UNION ALL SELECT doc_id, next + 3 + row * 4, 2, {crystal_path("1", "row")}, 'site', 2, [], NULL FROM k
+UNION ALL SELECT doc_id, next + 4 + row * 4, next + 3 + row * 4, {crystal_path("1", "row", "0")}, 'occupant', 3, [], NULL FROM k
+UNION ALL SELECT doc_id, next + 5 + row * 4, next + 4 + row * 4, {crystal_path("1", "row", "0", "0")}, 'atom', 4, [], atom_type FROM k
+UNION ALL SELECT doc_id, next + 6 + row * 4, next + 3 + row * 4, {crystal_path("1", "row", "1")}, 'position', 3, [round(x, 6), round(y, 6), round(z, 6)], NULL FROM k)
+SELECT doc_id, node_id::BIGINT AS node_id, parent_id::BIGINT AS parent_id, path, name, depth, value, ref FROM t""")
 def rebuild_tree(spark, sf):
     nodes, a, cl = cell(spark, sf)
     new = lattice.rebuild_tree(nodes, lattice.sphere_cutter(a, cl, RADIUS), cl)
-    return new.groupBy("doc_id", "name").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    value = F.coalesce(F.transform(lattice.numbers(F.col("value")), lambda x: F.round(x, 6)), F.array().cast("array<double>"))
+    return new.select("doc_id", "node_id", "parent_id", "path", "name", "depth", value.alias("value"), F.try_element_at("attribs", F.lit("ref")).alias("ref"))
 
 
 CUT = ATOMS + """, g AS (SELECT a.doc_id, atom_type, (x + i) / 2.0 AS x, y / 1.0 AS y, z / 1.0 AS z, [a1[1] * 2.0, a1[2] * 2.0, a1[3] * 2.0] AS b1, a2, a3 FROM a JOIN l USING (doc_id), range(2) t(i)),
@@ -567,7 +585,36 @@ def write_tree(spark, sf):
     return writer.write_tree(tables.geo(spark, sf))
 
 
-@query(name="validate_geo")
+@query(ORACLE_SQL["elem_type_errors"])
 def validate_geo(spark, sf):
-    """All errors of the geo documents."""
+    """All errors of the geo documents: there are none but those of values."""
     return validate.validate(tables.geo(spark, sf), compile_xsd(fixtures.GEO))
+
+
+# ---- files
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance FROM customer")
+def xml_file_roundtrip(spark, sf):
+    """Rows written as XML files and read again with their schema's types."""
+    path = scratch(spark, "customers")
+    writer.write_xml(table(spark, sf, "customer").select(F.col("c_custkey").alias("_key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), path, "customer")
+    return scan(spark, path, "customer", compile_xsd(fixtures.CUSTOMER), "Customer").select(F.col("_key").alias("key"), "name", "balance")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, 1000000 + c_custkey AS node_id, 'facet_enumeration' AS code, c_mktsegment AS detail FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def send_tree(spark, sf):
+    """A chain that sends its tree to the engine again, against a schema file: the errors that this writes."""
+    xsd, errors = scratch(spark, "geo.xsd"), scratch(spark, "errors")
+    spark.createDataFrame([(fixtures.GEO,)], "value string").coalesce(1).write.text(xsd)
+    pipeline.REGISTRY.run(tables.geo(spark, sf), f"PrintData() > SendTree({xsd!r}, errors_output={errors!r})")
+    return spark.read.parquet(errors).select("doc_id", "node_id", "code", "detail")
+
+
+@query("SELECT * FROM (VALUES (1, 'bad_transform_call', 'A(1 + x)'), (2, 'unknown_transform', 'Nope(2)'), (3, 'bad_transform_call', 'PrintData(')) t(step, code, text)")
+def call_errors(spark, sf):
+    return pipeline.call_errors(spark, ["PrintData()", "A(1 + x)", "", "Nope(2)", "PrintData("])

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from timberline.functions.xsdtypes import BUILTINS, SPARK_TYPES
 
@@ -344,19 +345,26 @@ def local(tag: str) -> str:
 
 
 def compile_xsd(text: str) -> Catalog:
-    """The catalog of a schema document."""
-    return _Compiler().schema(ET.fromstring(text))
+    """The catalog of a schema document. Text that isn't XML gives an empty catalog with the error malformed_schema."""
+    try:
+        return _Compiler().schema(ET.fromstring(text))
+    except ET.ParseError as e:
+        return _failed("malformed_schema", "", e)
+
+
+def _failed(code: str, name: str, why: Exception) -> Catalog:
+    out = Catalog()
+    out.errors.append((code, name, str(why).splitlines()[0]))
+    return out
 
 
 def read_xsd(spark: SparkSession, path: str) -> Catalog:
-    """The catalog of the schema at a path that Spark can read, or at a http(s) or ftp URL, which the driver fetches. A
-    URL that can't be fetched gives an empty catalog with the error schema_unreachable."""
-    if not path.startswith(("http://", "https://", "ftp://")):
-        return compile_xsd(spark.read.text(path, wholetext=True).first()[0])
+    """The catalog of the schema at a path that Spark can read, or at a http(s) or ftp URL, which the driver fetches.
+    What can't be read gives an empty catalog with the error schema_unreachable."""
     try:
+        if not path.startswith(("http://", "https://", "ftp://")):
+            return compile_xsd(spark.read.text(path, wholetext=True).first()[0])
         with urllib.request.urlopen(path, timeout=60) as f:
             return compile_xsd(f.read().decode())
-    except (urllib.error.URLError, OSError) as e:
-        out = Catalog()
-        out.errors.append(("schema_unreachable", path, str(e)))
-        return out
+    except (urllib.error.URLError, OSError, AnalysisException) as e:
+        return _failed("schema_unreachable", path, e)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from timberline.operators.bind import resolve
 from timberline.operators.validate import attribute_errors, element_errors, validate
+from timberline.sources.shared import materialise, release
 from timberline.sources.xml import shred
 from timberline.sources.xsd import Catalog
 
@@ -33,6 +34,8 @@ def write_errors(docs: DataFrame, catalog: Catalog, path: str, checkpoint: str)
     repeated batch replaces."""
 
     def batch(df: DataFrame, number: int) -> None:
-        validate(shred(df), catalog).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        nodes = materialise(shred(df), "nodes")  # the checks read it several times
+        validate(nodes, catalog).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        release(nodes)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
