@@ -479,6 +479,22 @@ def test_cycles_duplicates_and_bad_arguments(spark):
     assert chat.format_chats(chat_rows(spark, [])).count() == 0
 
 
+def test_most_derived_messages_are_linked(spark):
+    rows = QUERIES["chat_tool_calls"](spark, SF).collect()
+    kinds = [r.at_kind for r in rows]
+    assert sum('"tool_calls"' in r.message for r in rows) + kinds.count(1) > len(rows) / 2 and max(r.at_level for r in rows) >= 2
+    assert any("type:expression" in r.errors for r in rows) and any("no_result" in r.errors for r in rows)
+
+
+def test_chats_with_repeated_rows_and_clashing_columns(spark):
+    turn = json.dumps({"tool_calls": [call("a")]})
+    rows = [(1, 0, "assistant", turn)] * 2 + [(1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "x"}))] * 2 + [(None, None, "user", "y" * 200_000)]
+    df = chat_rows(spark, rows).withColumn("c", F.lit(1)).withColumn("row", F.lit("z")).withColumn("_conv", F.lit(2))
+    got = chat.format_chats(df).collect()
+    assert sorted(r.errors for r in got) == ["", "", "", "a=duplicate_id", "repeated_result"]
+    assert max(len(r.message) for r in got) > 200_000
+
+
 # ---- packing
 
 

@@ -91,8 +91,9 @@ def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame
     has; results belong to the first), no_result, cycle. Of several results of one id all are linked, those after the
     first with the error repeated_result.
 
-    A null text is the content null, a null role is written as null. Text that isn't such JSON is content. Repeated
-    rows stay. An empty table gives no rows.
+    A null text is the content null, a null role is written as null, null ids and turns stay. Text that isn't such JSON
+    is content, however long. Repeated rows stay: their calls have duplicate_id, their results repeated_result. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
     text, role = F.col("text").cast("string"), F.col("role").cast("string")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), text.alias("text"))
@@ -143,6 +144,50 @@ def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame
     return plain.select(cols).unionByName(made.select(cols)).unionByName(got.select(cols))
 
 
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text in which assistants call tools and get results, derived from conversations without
+    tools, so that linking meets data of any size.
+
+    An assistant's turn t makes the call c<t>, of a tool and with arguments by t modulo 4 (right, of a wrong type,
+    unexpected, an unknown tool), to come after c<t-2> but at every fifth turn; the turn after it is the result of
+    c<t-1> unless t is divisible by 3 or an assistant's (an orphan, where t-1 makes no call). Texts stay, as contents;
+    null texts, repeated rows and other roles too. A null turn is left as it is.
+    """
+    t, n = F.col("turn"), F.col("turn").cast("string")
+    text = text_json(F.col("text").cast("string"))
+    call = F.when(t % 4 == 0, F.concat(F.lit('"name": "search", "arguments": {"query": "q'), n, F.lit('", "limit": '), n, F.lit("}")))
+    call = call.when(t % 4 == 1, F.concat(F.lit('"name": "calculate", "arguments": {"expression": '), n, F.lit("}")))
+    call = call.when(t % 4 == 2, F.concat(F.lit('"name": "fetch", "arguments": {"x": 1, "url": "u'), n, F.lit('"}'))).otherwise(F.lit('"name": "nope", "arguments": {"a": [ ]}'))
+    after = F.when(t % 5 == 0, F.lit("")).otherwise(F.concat(F.lit('"c'), (t - 2).cast("string"), F.lit('"')))
+    calls = F.concat(F.lit('{"content": '), text, F.lit(', "tool_calls": [{"id": "c'), n, F.lit('", '), call, F.lit(', "after": ['), after, F.lit("]}]}"))
+    result = F.concat(F.lit('{"tool_call_id": "c'), (t - 1).cast("string"), F.lit('", "content": '), text, F.lit("}"))
+    answers = (F.col("role") == "user") & (t > 0) & (t % 3 != 0)
+    return conversations.select(
+        F.col("conv_id"), t, F.when(answers, "tool").otherwise(F.col("role")).alias("role"),
+        F.when((F.col("role") == "assistant") & t.isNotNull(), calls).when(answers, result).otherwise(F.col("text")).alias("text"),
+    )
+
+
+#: format_chats(with_tools()) in DuckDB SQL.
+TOOLS_SQL = """
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(to_json(text)::VARCHAR, 'null') AS content, coalesce(to_json(role)::VARCHAR, 'null') AS said,
+    coalesce(role = 'assistant', FALSE) AS calls, coalesce(role = 'user' AND turn > 0 AND turn % 3 <> 0, FALSE) AS answers FROM conversations),
+c AS (SELECT conv_id, turn, CASE WHEN turn % 5 <> 0 THEN turn - 2 END AS dep FROM m WHERE calls),
+v AS (SELECT conv_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.turn = c.dep)
+    UNION ALL SELECT c.conv_id, c.turn, v.level + 1 FROM c JOIN v ON c.conv_id = v.conv_id AND c.dep = v.turn),
+a AS (SELECT conv_id, turn - 1 AS turn FROM m WHERE answers),
+e AS (SELECT m.*, CASE turn % 4 WHEN 0 THEN [] WHEN 1 THEN ['type:expression'] WHEN 2 THEN ['unexpected:x'] ELSE ['unknown_tool'] END
+    || CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.conv_id = m.conv_id AND a.turn = m.turn) THEN [] ELSE ['no_result'] END AS errors,
+    CASE turn % 4 WHEN 0 THEN '{"limit":' || turn || ',"query":"q' || turn || '"}' WHEN 1 THEN '{"expression":' || turn || '}' WHEN 2 THEN '{"url":"u' || turn || '","x":1}' ELSE '{"a":[]}' END AS arguments,
+    CASE turn % 4 WHEN 0 THEN 'search' WHEN 1 THEN 'calculate' WHEN 2 THEN 'fetch' ELSE 'nope' END AS name FROM m WHERE calls)
+SELECT conv_id, turn, turn AS at_turn, 0 AS at_kind, 0 AS at_level, 0 AS at_place, role, '{"content":' || content || ',"role":' || said || '}' AS message, '' AS errors FROM m WHERE NOT calls AND NOT answers
+UNION ALL SELECT conv_id, turn, turn, 0, 0, 0, role, '{"content":' || content || ',"role":"assistant","tool_calls":[{"arguments":' || arguments || ',"id":"c' || turn || '","name":"' || name || '"}]}',
+    array_to_string(list_transform(list_sort(errors), lambda x: 'c' || turn || '=' || x), ' ') FROM e
+UNION ALL SELECT m.conv_id, m.turn, CASE WHEN v.turn IS NULL THEN m.turn ELSE v.turn END, CASE WHEN v.turn IS NULL THEN 2 ELSE 1 END, coalesce(v.level, 0), 0, 'tool',
+    '{"content":' || content || ',"role":"tool","tool_call_id":"c' || (m.turn - 1) || '"}', CASE WHEN v.turn IS NULL THEN 'orphan_result' ELSE '' END
+    FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.turn = m.turn - 1 WHERE answers
+"""
+
 #: format_chats() in DuckDB SQL where no turn makes or answers calls, as in the given tables.
 ORACLE_SQL = """
 SELECT conv_id, turn, turn AS at_turn, 0 AS at_kind, 0 AS at_level, 0 AS at_place, role,

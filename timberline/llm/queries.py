@@ -46,6 +46,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """format_chats() over all conversations with derived tool calls: most messages are linked."""
+    return chat.format_chats(chat.with_tools(table(spark, sf_dir, "conversations")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece of every document."""
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), length=2048, end_id=1))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
+    "chat_tool_calls": chat_tool_calls,
     "op6_packing": op6_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_url_filters": op8_url_filters,
@@ -112,4 +118,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 #: Queries that SQL can express over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op8_url_filters": url_filter.oracle(), "op9_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "chat_tool_calls": chat.TOOLS_SQL, "op8_url_filters": url_filter.oracle(), "op9_top_k": OP9_SQL}
