@@ -153,11 +153,13 @@ def block_best(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, rows: np.ndarra
 
 @dataclass
 class Plan:
-    """rows: row, vec_id, v of what takes part; postings: rows by list; probes: queries by the lists that they read."""
+    """rows: row, vec_id, v of what takes part; postings: rows by list; probes: queries by the lists that they read; dims:
+    components of the longest vector."""
 
     rows: DataFrame
     postings: DataFrame
     probes: DataFrame
+    dims: int
 
     def share(self) -> float:
         """Rows that a query is compared with, as a share of all rows: copies in several lists count each."""
@@ -201,7 +203,7 @@ def plan(vectors: DataFrame, every: int, k: int, probes: float, ratio: float) ->
         held[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(held)
     queries = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probed, kind), "probes")
-    return Plan(rows, postings, queries)
+    return Plan(rows, postings, queries, dims)
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7, ratio: float = 1.35) -> DataFrame:
@@ -217,8 +219,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7,
     made = plan(vectors, every, k, probes, ratio)
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    postings, queries = made.postings, made.probes
-    dims = made.rows.agg(F.max(F.size("v"))).first()[0]
+    postings, queries, dims = made.postings, made.probes, made.dims
     # one row for each list, so CENTROIDS rows at most
     pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_pieces")), "list")
     deal = F.broadcast(materialise(pieces, "pieces"))

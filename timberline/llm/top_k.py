@@ -107,21 +107,20 @@ def block_search(
             todo = np.flatnonzero(bound >= floor) if floor > -np.inf else np.flatnonzero(bound > -np.inf)
             if not len(todo):
                 continue
-            first = todo[np.argpartition(-bound[todo], FIRST)[:FIRST]] if len(todo) > FIRST else todo
-            got, score = first, x[first] @ me
-            if len(todo) > FIRST:
-                best_of = lambda s: max(floor, np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf)  # noqa: B023, E731
-                kth = best_of(score)
-                bound = bound.copy()
-                bound[first] = -np.inf
-                rest = todo[bound[todo] >= kth]  # the others can't reach the k-th score
-                rest = rest[bound[rest] > -np.inf]
-                rest = rest[np.argsort(-bound[rest], kind="stable")]
-                step = FIRST
-                while len(rest) and bound[rest[0]] >= kth:
-                    now, rest = rest[:step], rest[step:]
-                    got, score = np.concatenate([got, now]), np.concatenate([score, x[now] @ me])
-                    kth, step = best_of(score), step * 4
+            # the best bounds first, in growing steps; what can't reach the k-th score any more is left out
+            got, score, kth = todo[:0], x[:0] @ me, floor
+            step = FIRST if floor == -np.inf else 4 * FIRST
+            while len(todo):
+                if len(todo) > step:
+                    part = np.argpartition(-bound[todo], step)
+                    now, todo = todo[part[:step]], todo[part[step:]]
+                else:
+                    now, todo = todo, todo[:0]
+                got, score = np.concatenate([got, now]), np.concatenate([score, x[now] @ me])
+                if len(todo) and len(score) >= k:
+                    kth = max(kth, np.partition(score, len(score) - k)[len(score) - k])
+                    todo = todo[bound[todo] >= kth]
+                step *= 4
             best = np.lexsort((ids[got], -score))[:k]
             yield at + i, ids[got[best]], score[best].astype(np.int64)
 
