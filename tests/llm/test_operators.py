@@ -255,6 +255,37 @@ def test_recall_of_the_operator_without_clusters_with_many_lists(spark, monkeypa
     assert hits / (5 * len(got)) >= 0.9
 
 
+def test_lists_that_outgrow_a_task_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 16)
+    monkeypatch.setattr(nearest, "PIECE", 40)
+    monkeypatch.setattr(nearest, "CENTROIDS", 30)  # of the first level, and of each list
+    monkeypatch.setattr(nearest, "PAIRS", 64)
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(150, 32))
+    x = (centers[rng.integers(0, 150, 6000)] + 0.35 * rng.normal(size=(6000, 32))).astype(np.float32)
+    x[1::3] = x[1]  # a third of all rows are copies
+    df = vectors_of(spark, [(i, v.tolist()) for i, v in enumerate(x)]).repartition(9)
+    made = nearest.plan(df, 50, 5, 0.7, 1.35)
+    sizes = made.postings.where("own").groupBy("list").count().toPandas()
+    assert sizes["count"].sum() == 6000  # every row is filed, once as its own
+    assert len(sizes) >= 200 and made.postings.select("row").distinct().count() == 6000
+    assert sorted(sizes["count"])[-2] < 120  # only the copies' list stays large
+    distinct = [i for i in range(0, 6000, 50) if i % 3 != 1]
+    share, got = made.share(), {}
+    for r in nearest.search(df).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    m = nearest.unit(x.astype(float))
+    hits = 0
+    for q in distinct:
+        s = nearest.cosines(m[q], m)
+        s[q] = -9
+        hits += len({v for _, v in got[q]} & set(np.lexsort((np.arange(6000), -s))[:5].tolist()))
+    print(f"lists {len(sizes)}, share {share:.3f}, recall {hits / (5 * len(distinct)):.3f}")
+    assert set(got) == set(range(0, 6000, 50)) and all(len(v) == 5 for v in got.values())
+    assert hits / (5 * len(distinct)) >= 0.95 and share < 0.2
+    assert [v for _, v in sorted(got[100])] == [1, 4, 7, 10, 13]  # 100 is a copy: ties to the smaller id
+
+
 def test_isolated_groups_get_all_neighbours(spark, monkeypatch):
     monkeypatch.setattr(nearest, "LIST", 3)  # many lists: a third of all vectors are centroids at first
     rng = np.random.default_rng(2)

@@ -4,8 +4,9 @@ Centroids are fitted on a bounded sample with a penalty on size, so lists are ba
 list of its nearest centroid, and in others whose centroid is hardly farther, so vectors on a boundary are found from
 either side. A query walks an in-memory neighbourhood graph over the centroids to the nearest ones, keeps the first
 lists until they hold several times as many rows as are asked for, and drops what is farther than the last of these by
-more than a ratio. Lists that are still large are cut into pieces by a hash, and so are the queries that meet in one
-list; a task holds one piece of each.
+more than a ratio. A list that outgrows a task is divided by centroids of its own, fitted and searched on the executors
+in the same way, so lists don't grow with the table. What is still large (copies of one vector) is cut into pieces by a
+hash, and so are the queries that meet in one list; a task holds one piece of each.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from timberline.sources.shared import materialise
 
-#: Rows that the centroids are fitted on, and the greatest number of centroids (which bounds what is broadcast).
+#: Rows that the centroids are fitted on, and the greatest number of centroids (which bounds what is broadcast). Both
+#: hold for the first level, and for each list of it that is divided.
 SAMPLE, CENTROIDS = 20_000, 2048
+#: Pairs of a query and a list that one task writes when a list is divided.
+PAIRS = 1 << 18
 #: Vectors for each centroid; those of a piece of a list; queries of a piece.
 LIST, PIECE, QUERIES = 256, 4096, 2048
 #: A vector is filed in every list, of the nearest COPIES, whose centroid is at most CLOSURE times as far as its nearest.
@@ -45,12 +49,7 @@ class Index:
 
     def nearest(self, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The n nearest centroids of each row (all are compared): positions and distances, nearest first."""
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ self.centroids.T))
-        n = min(n, d.shape[1])
-        at = np.argpartition(d, n - 1, axis=1)[:, :n]
-        order = np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable")
-        at = np.take_along_axis(at, order, 1)
-        return at, np.take_along_axis(d, at, 1)
+        return ranked(x, self.centroids, n)
 
     def walk(self, x: np.ndarray, n: int, start: np.ndarray = np.zeros(0, dtype=int)) -> tuple[np.ndarray, np.ndarray]:
         """As nearest() for one vector, by best-first search of the graph with a beam of n centroids, from fixed
@@ -81,26 +80,56 @@ class Index:
         found, d = self.walk(x, n, self.nearest(x[None], COPIES)[0][0])
         if rows[found].sum() < least:
             found, d = (a[0] for a in self.nearest(x[None], len(self.centroids)))
-        base = d[min(int(np.searchsorted(np.cumsum(rows[found]), least)), len(d) - 1)]
-        return found[d <= max(base * ratio, base + 1e-12)]
+        return pruned(found, d, rows, ratio, least)
 
 
-def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> Index:
-    """An index of so many centroids from unit vectors x, by k-means on the sphere whose distances grow with a list's
-    size."""
+def ranked(x: np.ndarray, centroids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n nearest centroids of each row, nearest first, and their distances; distances of 1024 rows at a time."""
+    n = min(n, len(centroids))
+    at, dist = np.zeros((len(x), n), dtype=np.int64), np.zeros((len(x), n))
+    for i in range(0, len(x), 1024):
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * x[i : i + 1024] @ centroids.T))
+        near = np.argpartition(d, n - 1, axis=1)[:, :n]
+        order = np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable")
+        at[i : i + 1024] = near = np.take_along_axis(near, order, 1)
+        dist[i : i + 1024] = np.take_along_axis(d, near, 1)
+    return at, dist
+
+
+def pruned(found: np.ndarray, d: np.ndarray, rows: np.ndarray, ratio: float, least: int) -> np.ndarray:
+    """Of lists in order of their distances those up to ratio times as far as the one with which they hold `least`."""
+    base = d[min(int(np.searchsorted(np.cumsum(rows[found]), least)), len(d) - 1)]
+    return found[d <= max(base * ratio, base + 1e-12)]
+
+
+def close(d: np.ndarray) -> np.ndarray:
+    """Which of the nearest lists of each row it is filed in."""
+    return d <= np.maximum(d[:, :1] * CLOSURE, d[:, :1] + 1e-12)
+
+
+def centres(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """So many centroids (fewer, if fewer rows differ) of unit vectors x, by k-means on the sphere whose distances grow
+    with a list's size."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
     lists = max(1, min(lists, len(x)))
     c = x[rng.choice(len(x), lists, replace=False)]
     weight = np.zeros(lists)
     for _ in range(rounds):
-        near = np.argmin(-x @ c.T + weight, axis=1)
+        near = np.concatenate([np.argmin(-x[i : i + 1024] @ c.T + weight, axis=1) for i in range(0, len(x), 1024)])
         size = np.bincount(near, minlength=lists)
         weight += 0.02 * (size / max(1.0, len(x) / lists) - 1)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         sums[size == 0] = x[rng.choice(len(x), int((size == 0).sum()))]
         c = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1))[:, None]
+    return c
+
+
+def fit(x: np.ndarray, lists: int) -> Index:
+    """The centroids of unit vectors x, and their graph."""
+    c = centres(x, lists)
+    lists = len(c)
     graph = np.argsort(-(c @ c.T), axis=1, kind="stable")[:, 1 : DEGREE + 1]
     ring = np.stack([np.roll(np.arange(lists), 1), np.roll(np.arange(lists), lists // 2)], axis=1)  # keeps it connected
     return Index(c, np.concatenate([graph, ring], axis=1))
@@ -185,16 +214,17 @@ def plan(vectors: DataFrame, every: int, k: int, probes: float, ratio: float) ->
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, d = shared.value.nearest(unit(matrix(b.column(2), dims)), COPIES)
-            row, col = np.nonzero(d <= np.maximum(d[:, :1] * CLOSURE, d[:, :1] + 1e-12))
+            row, col = np.nonzero(close(d))
             take = [c.take(pa.array(row)) for c in b.columns]
             yield pa.RecordBatch.from_arrays([*take, pa.array(at[row, col]), pa.array(col == 0)], ["row", "vec_id", "v", "list", "own"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype=np.int64)
         for b in batches:
-            found = [shared.value.probe(x, beam, ratio, sizes.value, ENOUGH * k + 1) for x in unit(matrix(b.column(2), dims))]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(np.concatenate([none, *found]))], ["row", "vec_id", "v", "list"])
+            x = unit(matrix(b.column(2), dims))
+            for i in range(0, len(x), 64):  # a query may read many lists, and a row goes to each
+                found = [shared.value.probe(y, beam, ratio, sizes.value, ENOUGH * k + 1) for y in x[i : i + 64]]
+                row = pa.array(i + np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([*[c.take(row) for c in b.columns], pa.array(np.concatenate(found))], ["row", "vec_id", "v", "list"])
 
     kind = "row long, vec_id long, v array<double>, list long"
     postings = materialise(rows.mapInArrow(filed, kind + ", own boolean"), "postings")
@@ -203,7 +233,78 @@ def plan(vectors: DataFrame, every: int, k: int, probes: float, ratio: float) ->
         held[r["list"]] = r["count"]
     sizes = spark.sparkContext.broadcast(held)
     queries = materialise(rows.where(F.col("vec_id") % every == 0).mapInArrow(probed, kind), "probes")
-    return Plan(rows, postings, queries, dims)
+    return Plan(rows, *divided(postings, queries, held, dims, k, probes, ratio), dims)
+
+
+def divided(postings: DataFrame, queries: DataFrame, held: np.ndarray, dims: int, k: int, probes: float, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Postings and probes with each list of over PIECE rows divided by centroids of its own, which are fitted on a
+    bounded sample of its rows: filed and probed as on the first level, by the same rules. held: rows of each list.
+
+    A task has one list's centroids and a bounded piece of its rows or queries, so neither a list's centroids nor its
+    rows are held anywhere as a whole, and the driver sees no more than one number for each list.
+    """
+    large = [(int(i), int(n), min(CENTROIDS, -(-int(n) // LIST))) for i, n in enumerate(held) if n > PIECE]
+    if not large:
+        return postings, queries
+    spark = postings.sparkSession
+    asked = queries.groupBy("list").agg(F.count("*").alias("asked"))
+    large = spark.createDataFrame(large, "list long, held long, fines long").join(asked, "list", "left")
+    large = large.select("list", "held", "fines", F.greatest(F.lit(1), F.ceil(F.col("asked") * F.col("fines") / PAIRS)).alias("q_pieces"), F.ceil(F.col("held") / (4 * PIECE)).alias("pieces"))
+    large = F.broadcast(materialise(large, "large"))  # one row for each list of the first level
+
+    def fitted(t: pa.Table) -> pa.Table:
+        c = centres(unit(matrix(t.column("v").combine_chunks(), dims)), t.column("fines")[0].as_py())
+        return pa.table({"list": t.column("list").slice(0, 1).take(pa.array(np.zeros(len(c), dtype=int))), "fine": pa.array(np.arange(len(c))), "c": pa.array(list(c), pa.list_(pa.float64()))})
+
+    part = F.pmod(F.xxhash64("row", F.lit(4)), F.lit(1 << 40))  # by the row's number, so copies are thinned too
+    some = postings.where("own").join(large, "list").where(part < F.ceil(F.col("fines") * (SAMPLE // CENTROIDS + 1) * (1 << 40) / F.col("held")))
+    cells = materialise(some.select("list", "v", "fines").groupBy("list").applyInArrow(fitted, "list long, fine long, c array<double>"), "centroids")
+
+    def cell(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        t = t.sort_by("fine")
+        # a list whose sample is empty has one part
+        return t, matrix(t.column("c").combine_chunks(), dims) if len(t) else np.zeros((1, dims))
+
+    def table_of(t: pa.Table, row: np.ndarray, fine: np.ndarray) -> pa.Table:
+        return t.select(["row", "vec_id", "v", "list"]).take(pa.array(row)).append_column("fine", pa.array(fine))
+
+    none = np.zeros(0, dtype=np.int64)
+
+    def filed(t: pa.Table, c: pa.Table) -> pa.Table:
+        at, d = ranked(unit(matrix(t.column("v").combine_chunks(), dims)), cell(c)[1], COPIES) if len(t) else (none[:, None], none[:, None])
+        row, col = np.nonzero(close(d))
+        own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)[row] & (col == 0)
+        return table_of(t, row, at[row, col]).append_column("own", pa.array(own))
+
+    def probed(t: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(t):
+            return table_of(t, none, none)
+        c, points = cell(c)
+        rows = c.column("n").to_numpy() if len(c) else np.ones(1)
+        beam, least, found = max(8, math.ceil(probes * len(points))), ENOUGH * k + 1, []
+        for at, d in zip(*ranked(unit(matrix(t.column("v").combine_chunks(), dims)), points, len(points)), strict=True):
+            n = max(beam, int(np.searchsorted(np.cumsum(rows[at]), least)) + 1)
+            found.append(pruned(at[:n], d[:n], rows, ratio, least))
+        return table_of(t, np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found))
+
+    kind = "row long, vec_id long, v array<double>, list long, fine long"
+    to = lambda df, n: df.join(large, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int"))))
+    dealt = lambda df, n: df.join(large, "list").withColumn("piece", F.pmod(F.xxhash64("row", F.lit(5)), F.col(n)).cast("int"))
+    by = ["list", "piece"]
+    right = to(cells, "pieces").select(*by, "fine", "c").groupBy(*by)
+    left = dealt(postings, "pieces").select("row", "vec_id", "v", "own", *by).groupBy(*by)
+    fine = materialise(left.cogroup(right).applyInArrow(filed, kind + ", own boolean"), "fine_postings")
+    sizes = fine.where("own").groupBy("list", "fine").agg(F.count("*").alias("n"))
+    sized = materialise(cells.join(sizes, ["list", "fine"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "cells")
+    right = to(sized, "q_pieces").select(*by, "fine", "c", "n").groupBy(*by)
+    left = dealt(queries, "q_pieces").select("row", "vec_id", "v", *by).groupBy(*by)
+    reads = materialise(left.cogroup(right).applyInArrow(probed, kind), "fine_probes")
+
+    key = lambda fine: (F.col("list") * CENTROIDS + fine).alias("list")
+    joined = lambda df, parts, *also: (
+        df.join(large, "list", "left_anti").select("row", "vec_id", "v", key(F.lit(0)), *also).unionByName(parts.select("row", "vec_id", "v", key(F.col("fine")), *also))
+    )
+    return joined(postings, fine, "own"), joined(queries, reads)
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7, ratio: float = 1.35) -> DataFrame:
@@ -220,9 +321,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, probes: float = 0.7,
     if made is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     postings, queries, dims = made.postings, made.probes, made.dims
-    # one row for each list, so CENTROIDS rows at most
+    # one row for each list; no broadcast is asked for, as lists grow in number with the table
     pieces = postings.groupBy("list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_pieces")), "list")
-    deal = F.broadcast(materialise(pieces, "pieces"))
+    deal = materialise(pieces, "pieces")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     head = ("row", "vec_id", "v", "list")
     left = queries.join(deal, "list").select(*head, spread("pieces").alias("piece"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("q_pieces")).cast("int").alias("q_piece"))
