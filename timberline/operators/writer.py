@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from typing import TextIO
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +119,23 @@ def write_tree(nodes: DataFrame, head: Column | None = None) -> DataFrame:
     return out if head is None else out.withColumn("xml", F.concat(head, F.lit("\n"), "xml"))
 
 
+def write_parts(nodes: DataFrame, path: str, head: Column | None = None, mode: str = "errorifexists") -> None:
+    """Each document as a folder doc_id=... of text files that make it up in the order of their names: for documents that
+    are too large for one string. Lines are dealt out by ranges of (document, place), so no task holds a document."""
+    lines = events(nodes)
+    if head is not None:
+        roots = nodes.where("depth = 0").select("doc_id", F.lit("").alias("key"), F.concat(head, F.lit("\n")).alias("text"))
+        lines = lines.unionByName(roots)
+    lines = lines.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    lines.select("doc_id", F.regexp_replace("text", "\n$", "").alias("value")).write.mode(mode).partitionBy("doc_id").text(path)
+
+
+def show_tree(nodes: DataFrame, out: TextIO | None = None) -> None:
+    """Prints documents, to stdout unless told otherwise; the driver holds one partition of lines at a time."""
+    for line in events(nodes).orderBy("doc_id", "key").select("text").toLocalIterator():
+        (out or sys.stdout).write(line.text)
+
+
 def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str = "ROWS", mode: str = "errorifexists") -> None:
     """Typed rows as XML files by Spark's writer."""
     df.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).mode(mode).save(path)

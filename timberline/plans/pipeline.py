@@ -217,5 +217,8 @@ class Engine:
     def transform(self, nodes: DataFrame, calls: str | list[str] | list[Call]) -> DataFrame:
         return self.registry.run(nodes, calls)
 
-    def write(self, nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    def write(self, nodes: DataFrame, path: str, mode: str = "errorifexists", parts: bool = False) -> None:
+        """Documents as text, one in a row, or in parts if they may be too large for that: see writer.write_parts()."""
+        if parts:
+            return writer.write_parts(nodes, path, writer.header(), mode)
         writer.write_text(writer.write_tree(nodes, writer.header()), path, mode=mode)

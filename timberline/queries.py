@@ -585,6 +585,27 @@ def write_tree(spark, sf):
     return writer.write_tree(tables.geo(spark, sf))
 
 
+@query(GEO + """, kids AS (SELECT doc_id, parent_id FROM geo WHERE parent_id IS NOT NULL GROUP BY ALL)
+SELECT g.doc_id, count(*) AS nodes, CAST(sum(CASE WHEN k.parent_id IS NOT NULL THEN 2 WHEN g.value IS NOT NULL THEN 3 ELSE 1 END) AS BIGINT) AS lines
+FROM geo g LEFT JOIN kids k ON g.doc_id = k.doc_id AND g.node_id = k.parent_id GROUP BY g.doc_id""")
+def write_parts(spark, sf):
+    """Documents written in parts and read again: their elements, and lines. Attributes past the first have lines of
+    their own, which begin neither with < nor with a value's text."""
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}/parts"
+    writer.write_parts(tables.geo(spark, sf), path)
+    text = F.trim("value")
+    lines = spark.read.schema("value string, doc_id long").text(path).where(~text.rlike('^[a-z]+ *= *"'))
+    return lines.groupBy("doc_id").agg(F.count(F.when(text.rlike("^<[a-z]"), 1)).alias("nodes"), F.count("*").alias("lines"))
+
+
+@query("""SELECT * FROM (VALUES ('schema', 'schema', 1, false, NULL), ('element', 'customer', 2, true, NULL), ('complexType', 'Customer', 2, true, 'Customer'),
+('sequence', 'sequence1', 3, false, 'Customer'), ('element', 'name', 4, false, 'Customer'), ('element', 'balance', 4, false, 'Customer'), ('attribute', 'key', 3, false, 'Customer'))
+t(tag, name, layer, top_level, containing_type)""")
+def xsd_navigation(spark, sf):
+    """Layer, top-level check and containing type of the nodes of a schema."""
+    return compile_xsd(fixtures.CUSTOMER).frames(spark)["xsd_navigation"].drop("id")
+
+
 @query(ORACLE_SQL["elem_type_errors"])
 def validate_geo(spark, sf):
     """All errors of the geo documents: there are none but those of values."""

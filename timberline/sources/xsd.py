@@ -166,10 +166,34 @@ class Catalog:
             fields.append(T.StructField("_VALUE", SPARK_TYPES[plain], True))
         return T.StructType(fields)
 
+    # ---- navigation
+
+    def navigation(self) -> list[tuple[int, str, str, int, bool, str | None]]:
+        """(id, tag, name, layer, top_level, containing_type) of the schema's nodes: layer 1 is the schema itself, its
+        children are at the top, and the containing type is the name of the nearest type or attribute group, which are
+        their own."""
+        layer: dict[int | None, int] = {None: 0}
+        inside: dict[int | None, str | None] = {None: None}
+        out = []
+        for i, parent, tag, name, _ in self.nodes:  # a parent comes before its children
+            layer[i] = layer[parent] + 1
+            inside[i] = name if tag in ("complexType", "simpleType", "attributeGroup") else inside[parent]
+            out.append((i, tag, name, layer[i], layer[i] == 2, inside[i]))
+        return out
+
+    def describe(self) -> str:
+        """The catalog for a reader: a line for each node of the schema, indented by its layer, then its errors."""
+        attrs = {i: a for i, _, _, _, a in self.nodes}
+        lines = []
+        for i, tag, name, layer, _, _ in self.navigation():
+            rest = "".join(f" {k}={v}" for k, v in attrs[i].items() if k != "name")
+            lines.append("  " * (layer - 1) + f"{tag}[{name}]{rest}")
+        return "\n".join(lines + [f"{code}: {name}: {detail}" for code, name, detail in self.errors])
+
     # ---- tables
 
     def frames(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """The catalog as tables: xsd_nodes, xsd_types, xsd_elements, xsd_attributes, xsd_facets."""
+        """The catalog as tables: xsd_nodes, xsd_navigation, xsd_types, xsd_elements, xsd_attributes, xsd_facets."""
         types = [(t.name, t.kind, t.base, t.derivation, t.item_type, t.doc) for t in self.types.values()]
         elements = [(o, i, e.name, e.type, e.min_occurs, None if e.max_occurs >= UNBOUNDED else e.max_occurs, e.default, e.group) for o, es in self._owners() for i, e in enumerate(es)]
         attrs = [(t, a.name, a.type, a.use, a.default) for t in self.types for a in self.types[t].attributes.values()]
@@ -181,6 +205,7 @@ class Catalog:
         make = spark.createDataFrame
         return {
             "xsd_nodes": make(self.nodes, "id int, parent_id int, tag string, name string, attrs map<string,string>"),
+            "xsd_navigation": make(self.navigation(), "id int, tag string, name string, layer int, top_level boolean, containing_type string"),
             "xsd_types": make(types, "name string, kind string, base string, derivation string, item_type string, doc string"),
             "xsd_elements": make(elements, "parent string, decl_ord int, name string, type string, min_occurs int, max_occurs int, `default` string, grp int"),
             "xsd_attributes": make(attrs, "type_name string, name string, type string, `use` string, `default` string"),
