@@ -420,6 +420,34 @@ def test_held_out_accuracy_and_misspellings(spark):
     assert scorer.score("") == scorer.score(None) and 0 <= scorer.score("") < 0.5
 
 
+def test_rows_of_words():
+    some = ["a", "ab", "abc", "toxic", "toxci", "日本語", "x" * 3000, "abc", "\U0001f600b"]
+    rows, sizes = toxicity.rows_of(some)
+    at = 0
+    for w, n in zip(some, sizes, strict=True):
+        bound = f"<{w}>"
+        grams = [bound, *(bound[i : i + k] for k in toxicity.GRAMS for i in range(len(bound) - k + 1) if k < len(bound))]
+        assert n == len(grams) and rows[at : at + n].tolist() == toxicity.word_rows(w)  # whatever words stand beside it
+        of = dict(zip(grams, rows[at : at + n].tolist(), strict=True))
+        assert all(of[g] == r for g, r in zip(grams, rows[at : at + n].tolist(), strict=True))  # equal n-grams, equal rows
+        at += n
+    assert len(set(toxicity.word_rows("toxic")) & set(toxicity.word_rows("toxci"))) >= 3
+    assert rows.min() >= 0 and rows.max() < toxicity.BUCKETS and at == len(rows)
+    spread = np.unique(toxicity.rows_of([f"w{i}" for i in range(20000)])[0])
+    assert len(spread) > 10000
+
+
+def test_scores_do_not_depend_on_what_is_remembered(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -1.0)
+    texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(rng.integers(0, 90))) for _ in range(60)] + ["", None, "!?", "y" * 5000]
+    want = [toxicity.Scorer(model).score(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 50)
+    monkeypatch.setattr(toxicity, "CHARS", 64)
+    few = toxicity.Scorer(model)
+    assert few.scores(texts) == want and [few.score(t) for t in texts] == want
+
+
 def test_toxicity_edges(spark):
     rows = [(i, t, "s") for i, t in enumerate(ODD)] + [(None, "you fool", None)]
     labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")

@@ -7,17 +7,17 @@ the cross entropy. A document's score is that of its most toxic window; a window
 insult in a long document isn't averaged away and no phrase is cut. In training a toxic document teaches through its most toxic window (all
 of them in the first round), a clean one through every window.
 
-Because the two-class softmax over an average is linear, a word's contribution is one number; workers keep them in a
-bounded cache and score a text with one lookup for each word.
+Because the two-class softmax over an average is linear, a word's contribution is one number; workers work it out for all
+new words of some texts at once, keep it in a bounded cache and score a text with one lookup for each word.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
+#: Odd numbers of the hash of n-grams, and characters that are hashed at a time.
+BASE, MIX, CHARS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), 1 << 17
 #: Rows of the embedding table, its width, and lengths of the n-grams.
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: Words in a window.
@@ -45,11 +47,51 @@ BATCH, STEPS = 2048, 48
 CACHE_WORDS = 150_000
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Rows of the embedding table from 64-bit sums."""
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return (((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the embedding table, one word's after another's; how many each word has): the word with its boundaries,
+    and their n-grams. A sum of characters times powers of an odd number, modulo 2^64, is hashed to a row."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    start = np.cumsum(length) - length
+    place = np.arange(len(codes)) - np.repeat(start, length)
+    after = np.repeat(length, length) - place  # characters of the word from here on
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.append(np.uint64(1), np.full(max(int(length.max()), max(GRAMS)), BASE)))
+        rows, owner = [mixed(np.add.reduceat(codes * power[place], start))], [np.arange(len(words))]
+        word = np.repeat(np.arange(len(words)), length)
+        for n in GRAMS:
+            at = np.flatnonzero((after >= n) & ~((place == 0) & (after == n)))  # the whole word is there already
+            h = np.full(len(at), np.uint64(n) * MIX)
+            for k in range(n):
+                h += codes[at + k] * power[k]
+            rows.append(mixed(h))
+            owner.append(word[at])
+    rows, owner = np.concatenate(rows), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return rows[order], np.bincount(owner, minlength=len(words))
+
+
 def word_rows(word: str) -> list[int]:
-    """Rows of the embedding table for a word: the word with its boundaries, and their n-grams."""
-    bound = f"<{word}>"
-    grams = [bound, *(bound[i : i + n] for n in GRAMS for i in range(len(bound) - n + 1) if n < len(bound))]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    return rows_of([word])[0].tolist()
+
+
+def portions(words: Iterable[str]) -> Iterator[list[str]]:
+    """The words in lists of some CHARS characters, or of one longer word."""
+    part, size = [], 0
+    for w in words:
+        if part and size + len(w) > CHARS:
+            yield part
+            part, size = [], 0
+        part.append(w)
+        size += len(w) + 2
+    if part:
+        yield part
 
 
 def words(text: str | None) -> list[str]:
@@ -63,9 +105,9 @@ class Model:
     rows: np.ndarray
     bias: float
 
-    def word(self, word: str) -> complex:
-        r = word_rows(word)
-        return complex(float(self.rows[r].sum()), len(r))
+    def words(self, words: list[str]) -> list[complex]:
+        rows, sizes = rows_of(words)
+        return (np.add.reduceat(self.rows[rows].astype(np.float64), np.cumsum(sizes) - sizes) + 1j * sizes).tolist()
 
 
 class Scorer(dict):
@@ -76,16 +118,27 @@ class Scorer(dict):
 
     def __missing__(self, word: str) -> complex:
         found = self.old.get(word)
-        if found is None:
-            found = self.model.word(word)
-        if len(self) >= CACHE_WORDS:
+        return self.model.words([word])[0] if found is None else found
+
+    def learn(self, found: set[str]) -> None:
+        """Words that aren't remembered yet, as many as a generation holds; others are worked out when they are met."""
+        new = list(islice((x for x in found if x not in self), CACHE_WORDS))
+        if len(self) + len(new) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
-        self[word] = found
-        return found
+        self.update((x, self.old[x]) for x in new if x in self.old)
+        for part in portions(x for x in new if x not in self):
+            self.update(zip(part, self.model.words(part), strict=True))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        parts = [words(t) for t in texts]
+        self.learn(set().union(*parts))
+        return [self.window(w) for w in parts]
 
     def score(self, text: str | None) -> float:
-        w = words(text)
+        return self.scores([text])[0]
+
+    def window(self, w: list[str]) -> float:
         logit = self.model.bias
         if w:
             each = np.fromiter(map(self.__getitem__, w), dtype=np.complex128, count=len(w))
@@ -138,14 +191,11 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 10, rate: float = 0.2,
     share = float(label.mean()) if len(label) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(BUCKETS, dtype=np.float32), 60.0 if share else -60.0)
-    grams = array("i")
-    sizes = np.zeros(len(vocabulary) + 1, dtype=np.int64)  # the last word is none: it stands for -1
-    for i, x in enumerate(vocabulary):
-        rows_of = word_rows(x)
-        grams.extend(rows_of)
-        sizes[i] = len(rows_of)
+    found = [(r.astype(np.int32), n) for r, n in map(rows_of, portions(vocabulary))]
     del vocabulary
-    grams = np.frombuffer(grams, dtype=np.int32)
+    grams = np.concatenate([r for r, _ in found])
+    sizes = np.concatenate([*(n for _, n in found), [0]])  # the last word is none: it stands for -1
+    del found
     starts = np.append(0, np.cumsum(sizes))
     tokens = np.where(tokens < 0, len(sizes) - 1, tokens)
     n = sizes[tokens].sum(1)
@@ -238,8 +288,15 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            found = pa.array([scorer.score(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, column])
+            found, part, size = [], [], 0
+            for t in b.column(at):
+                part.append(t.as_py())
+                size += len(part[-1] or "")
+                if size > CHARS:  # some texts at a time, or one longer text
+                    found += scorer.scores(part)
+                    part, size = [], 0
+            found += scorer.scores(part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*b.schema.names, column])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
