@@ -14,6 +14,7 @@ new words of some texts at once, keep it in a bounded cache and score a text wit
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
-#: Odd numbers of the hash of n-grams, and characters that are hashed at a time.
-BASE, MIX, CHARS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), 1 << 17
+#: Characters that are hashed at a time.
+CHARS = 1 << 17
 #: Rows of the embedding table, its width, and lengths of the n-grams.
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 #: Words in a window.
@@ -47,34 +48,47 @@ BATCH, STEPS = 2048, 48
 CACHE_WORDS = 150_000
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Rows of the embedding table from 64-bit sums."""
-    h = (h ^ (h >> np.uint64(32))) * MIX
-    return (((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(40)).astype(np.int64) % BUCKETS
+def crc_table() -> np.ndarray:
+    """What CRC-32 does with each value of a byte."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & np.uint32(1), (t >> np.uint32(1)) ^ np.uint32(0xEDB88320), t >> np.uint32(1))
+    return t
+
+
+CRC = crc_table()
+
+
+def grams_of(word: str) -> list[str]:
+    bound = f"<{word}>"
+    return [bound, *(bound[i : i + n] for n in GRAMS for i in range(len(bound) - n + 1) if n < len(bound))]
 
 
 def rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of the embedding table, one word's after another's; how many each word has): the word with its boundaries,
-    and their n-grams. A sum of characters times powers of an odd number, modulo 2^64, is hashed to a row."""
-    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
-    start = np.cumsum(length) - length
-    place = np.arange(len(codes)) - np.repeat(start, length)
-    after = np.repeat(length, length) - place  # characters of the word from here on
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.append(np.uint64(1), np.full(max(int(length.max()), max(GRAMS)), BASE)))
-        rows, owner = [mixed(np.add.reduceat(codes * power[place], start))], [np.arange(len(words))]
-        word = np.repeat(np.arange(len(words)), length)
-        for n in GRAMS:
-            at = np.flatnonzero((after >= n) & ~((place == 0) & (after == n)))  # the whole word is there already
-            h = np.full(len(at), np.uint64(n) * MIX)
-            for k in range(n):
-                h += codes[at + k] * power[k]
-            rows.append(mixed(h))
-            owner.append(word[at])
+    """(rows of the embedding table, one word's after another's; how many each word has): the CRC-32 of the word with
+    its boundaries, and of their n-grams; of all words at once where they are ASCII, so a character is a byte."""
+    bound = [f"<{w}>".encode() for w in words]
+    plain = np.fromiter(map(str.isascii, words), dtype=bool, count=len(words))
+    length = np.where(plain, np.fromiter(map(len, bound), dtype=np.int64, count=len(words)), 0)
+    codes = np.frombuffer(b"".join(x for x, ok in zip(bound, plain, strict=True) if ok), dtype=np.uint8).astype(np.uint32)
+    word = np.repeat(np.arange(len(words)), length)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+    after = length[word] - place  # characters of the word from here on
+    rows, owner = [np.fromiter(map(zlib.crc32, bound), dtype=np.uint32, count=len(words))], [np.arange(len(words))]
+    for n in GRAMS:
+        at = np.flatnonzero((after >= n) & ~((place == 0) & (after == n)))  # the whole word is there already
+        h = np.full(len(at), 0xFFFFFFFF, dtype=np.uint32)
+        for k in range(n):
+            h = CRC[(h ^ codes[at + k]) & np.uint32(255)] ^ (h >> np.uint32(8))
+        rows.append(~h)
+        owner.append(word[at])
+    for i in np.flatnonzero(~plain):
+        rest = [zlib.crc32(g.encode()) for g in grams_of(words[i])[1:]]
+        rows.append(np.array(rest, dtype=np.uint32))
+        owner.append(np.full(len(rest), i))
     rows, owner = np.concatenate(rows), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return rows[order], np.bincount(owner, minlength=len(words))
+    return rows[order].astype(np.int64) % BUCKETS, np.bincount(owner, minlength=len(words))
 
 
 def word_rows(word: str) -> list[int]:
