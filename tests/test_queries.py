@@ -1,7 +1,11 @@
 """Every registered query of the tree engine against its SQL twin."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from timberline.functions import vectors as V
 from timberline.queries import ORACLE_SQL, QUERIES
 
 from parity import connect, duck_rows, spark_rows
@@ -23,6 +27,37 @@ def test_query(spark, con, name):
         assert got[1]
 
 
+@pytest.fixture(scope="module")
+def near_zero(spark, tmp_path_factory):
+    """A folder with vectors whose components round to zero from below, and ties."""
+    import duckdb
+
+    sf = str(tmp_path_factory.mktemp("near_zero"))
+    rows = [(0, [-1e-7, 0.5, -0.25, 0.0], 0), (1, [0.0078125, -0.0078125, -0.0, 1.0], 0), (2, [1e-7, 3e-7, -4e-7, -1e-7], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'")
+    return sf, con
+
+
+@pytest.mark.parametrize("name", ["rebuild_tree"])
+def test_zeros_of_lists_have_the_sign_of_their_sql(spark, near_zero, name):
+    """Compared as written: parity's norm takes -0.0 for 0.0."""
+    sf, con = near_zero
+    df = QUERIES[name](spark, sf)
+    want = [repr(r) for r in con.sql(ORACLE_SQL[name]).select(", ".join(df.columns)).fetchall()]
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(want)
+    assert any("-0.0" in r for r in want)
+
+
+def test_numbers_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    xs = [-1e-7, 1e-7, -0.0, 0.0, 5e-7, -5e-7, 1.5e-6, 0.0078125, -0.0078125, 2.0794515, 1612288728467.2068, 1e20, 1e303, -1e303, math.inf, -math.inf, math.nan, None]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1).select(V.rounded(F.col("x"), 6)).collect()
+    assert [repr(r[0]) for r in got] == [repr(duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0]) for x in xs]
+
+
 def test_whole_trees_are_walked_and_bound(spark):
     """No level is left out of the recursive walk or of binding."""
     rows = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("region", "nation", "customer", "orders", "lineitem")}

@@ -18,6 +18,17 @@ def same_size(v: Column, w: Column) -> Column:
     return F.size(v) == F.size(w)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to that many decimals as SQL twins round it: times a power of ten to the nearest whole number, halves
+    away from zero; zero keeps the sign (Spark's round goes by decimals and has no -0.0). Beyond that power: itself."""
+    power = 10.0**digits
+    y = x * power
+    even = F.rint(y)
+    off = y - even
+    nearest = F.when((F.abs(off) == 0.5) & (off * y > 0), even + off * 2).otherwise(even)
+    return F.when(F.abs(y) < float("inf"), nearest / power).otherwise(x)
+
+
 def _pairs(v: Column, w: Column, f) -> Column:
     unequal = F.raise_error(F.lit("the vectors have different lengths")).cast("array<double>")
     return F.when(same_size(v, w), F.zip_with(v, w, f)).when(v.isNotNull() & w.isNotNull(), unequal)
