@@ -29,18 +29,18 @@ def test_query(spark, con, name):
 
 @pytest.fixture(scope="module")
 def near_zero(spark, tmp_path_factory):
-    """A folder with vectors whose components round to zero from below, and ties."""
+    """A folder with vectors whose components round to zero from below, ties, and a null one."""
     import duckdb
 
     sf = str(tmp_path_factory.mktemp("near_zero"))
-    rows = [(0, [-1e-7, 0.5, -0.25, 0.0], 0), (1, [0.0078125, -0.0078125, -0.0, 1.0], 0), (2, [1e-7, 3e-7, -4e-7, -1e-7], 1)]
+    rows = [(0, [-1e-7, 0.5, -0.25, 0.0], 0), (1, [0.0078125, -0.0078125, -0.0, 1.0], 0), (2, [1e-7, 3e-7, -4e-7, -1e-7], 1), (3, None, 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet/*.parquet'")
     return sf, con
 
 
-@pytest.mark.parametrize("name", ["rebuild_tree"])
+@pytest.mark.parametrize("name", ["rebuild_tree", "vec_add"])
 def test_zeros_of_lists_have_the_sign_of_their_sql(spark, near_zero, name):
     """Compared as written: parity's norm takes -0.0 for 0.0."""
     sf, con = near_zero
